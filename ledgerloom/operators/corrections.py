@@ -10,23 +10,27 @@ from ledgerloom.functions.text import item_signature
 from ledgerloom.vocab import CORRECTION_KINDS, ITEM_NUMBER_FIELDS
 
 _ITEM_FIELDS = ["description", *ITEM_NUMBER_FIELDS]
-_AS_TEXT = "description STRING, quantity STRING, unit_price STRING, line_total STRING"
-_AS_NUMBER = "quantity DOUBLE, unit_price DOUBLE, line_total DOUBLE"
-
-
 def kind_code(kind: Column) -> Column:
     """One of update, add, delete, whatever spelling the log uses."""
     low = F.lower(kind)
     return F.coalesce(*[F.when(low.isin(*names), code) for code, names in CORRECTION_KINDS.items()])
 
 
-def item_payload(json: Column) -> Column:
-    """An item struct from JSON text; numbers given as text are Spanish amounts."""
-    text, number = F.from_json(json, _AS_TEXT), F.from_json(json, _AS_NUMBER)
-    return F.struct(
-        text["description"].alias("description"),
-        *[F.coalesce(number[f], amount_es(text[f])).alias(f) for f in ITEM_NUMBER_FIELDS],
-    )
+def item_payload(parsed: Column) -> Column:
+    """An item struct from a parsed (variant) payload; numbers given as text are Spanish amounts.
+
+    The payload is parsed once into a variant column; reading fields off it is
+    cheap, while a schema per field would parse the text again for each.
+    """
+    def number(f: str) -> Column:
+        path = f"$.{f}"
+        is_text = F.schema_of_variant(F.try_variant_get(parsed, path, "variant")) == "STRING"
+        as_text = F.try_variant_get(parsed, path, "string")
+        return F.when(is_text, amount_es(as_text)).otherwise(F.try_variant_get(parsed, path, "double"))
+
+    description = F.try_variant_get(parsed, "$.description", "string").alias("description")
+    item = F.struct(description, *[number(f).alias(f) for f in ITEM_NUMBER_FIELDS])
+    return F.when(parsed.isNotNull(), item)
 
 
 def upsert_corrections(log: DataFrame) -> DataFrame:
@@ -50,24 +54,29 @@ def overlay_items(items: DataFrame, corrections: DataFrame) -> DataFrame:
     * otherwise the last update replaces the item;
     * the first add counts only if the signature did not survive.
     """
-    kind = kind_code(F.col("kind"))
-    original, corrected = F.col("_original"), F.col("_corrected")
-    parsed = corrections.select(
-        "invoice_id", F.col("id").alias("_order"), kind.alias("_kind"), "original_item_id", "field",
-        F.when(kind != "add", item_payload(F.col("original_value"))).alias("_original"),
-        F.when(kind != "delete", item_payload(F.col("corrected_value"))).alias("_corrected"),
-        "corrected_value",
-    )
+    kind = F.col("_kind")
+    coded = corrections.withColumn("_kind", kind_code(F.col("kind")))
     complete = (
         F.col("original_item_id").isNotNull() & F.col("field").isNotNull()
         & F.col("corrected_value").isNotNull()
     )
-    usable = parsed.where((F.col("_kind") != "update") | complete)
-    target = F.when(F.col("_kind") == "add", corrected).otherwise(original)
-    changes = usable.withColumn("_target", target).select(
+    parsed = coded.where((kind != "update") | complete).select(
+        "invoice_id", F.col("id").alias("_order"), "_kind",
+        F.try_parse_json(F.when(kind != "add", F.col("original_value"))).alias("_old"),
+        F.try_parse_json(F.when(kind != "delete", F.col("corrected_value"))).alias("_new"),
+    )
+    read = parsed.select(
+        "invoice_id", "_order", "_kind",
+        item_payload(F.col("_old")).alias("_original"), item_payload(F.col("_new")).alias("_item"),
+    )
+    # A payload that is no JSON makes the correction void.
+    readable = F.when(kind == "add", F.col("_item").isNotNull()).when(
+        kind == "delete", F.col("_original").isNotNull()
+    ).otherwise(F.col("_item").isNotNull() & F.col("_original").isNotNull())
+    changes = read.withColumn("_target", F.coalesce("_original", "_item")).select(
         "invoice_id",
         *item_signature(F.col("_target.description"), F.col("_target.quantity"), F.col("_target.unit_price")),
-        "_kind", "_order", corrected.alias("_item"),
+        F.when(readable, kind).alias("_kind"), "_order", "_item",
     )
     base = items.select(
         "invoice_id",
@@ -77,7 +86,7 @@ def overlay_items(items: DataFrame, corrections: DataFrame) -> DataFrame:
     )
 
     def of_kind(k: str, fold) -> Column:
-        is_kind = F.col("_kind") == k
+        is_kind = kind == k
         return fold(F.when(is_kind, F.struct("_order", "_item")))["_item"]
 
     signature = ["sig_description", "sig_quantity", "sig_unit_price"]
@@ -85,7 +94,7 @@ def overlay_items(items: DataFrame, corrections: DataFrame) -> DataFrame:
         of_kind("base", F.max).alias("_base"),
         of_kind("update", F.max).alias("_update"),
         of_kind("add", F.min).alias("_add"),
-        F.bool_or(F.col("_kind") == "delete").alias("_deleted"),
+        F.coalesce(F.bool_or(kind == "delete"), F.lit(False)).alias("_deleted"),
     )
     survives = F.col("_base").isNotNull() & ~F.col("_deleted")
     result = F.when(survives, F.coalesce("_update", "_base")).otherwise(F.col("_add"))

@@ -36,22 +36,30 @@ def train_corrections(
 ) -> PipelineModel:
     """Predict the corrected value from the original one.
 
-    Rows with a null cannot be trained on and are left out.
+    Rows with a null cannot be trained on and are left out. Equal pairs are
+    counted first and enter the forest once with their count as weight, so a
+    correction repeated a million times costs as much as one.
     """
-    rows = corrections.select("original_value", "corrected_value").dropna()
-    check_classes(rows, "corrected_value", max_classes)
-    indexer = StringIndexer(inputCol="corrected_value", outputCol="_label", handleInvalid="keep").fit(rows)
-    stages = [
-        _tokenizer("original_value"),
-        CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary),
-        IDF(inputCol="_counts", outputCol="_features"),
-        RandomForestClassifier(
-            featuresCol="_features", labelCol="_label", predictionCol="_prediction",
-            numTrees=trees, maxDepth=depth, seed=SEED,
-        ),
-        IndexToString(inputCol="_prediction", outputCol="predicted_value", labels=indexer.labels),
-    ]
-    return Pipeline(stages=stages).fit(indexer.transform(rows))
+    pairs = (
+        corrections.select("original_value", "corrected_value").dropna()
+        .groupBy("original_value", "corrected_value").agg(F.count("*").cast("double").alias("_weight"))
+    ).persist()
+    try:
+        check_classes(pairs, "corrected_value", max_classes)
+        indexer = StringIndexer(inputCol="corrected_value", outputCol="_label").fit(pairs)
+        stages = [
+            _tokenizer("original_value"),
+            CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary),
+            IDF(inputCol="_counts", outputCol="_features"),
+            RandomForestClassifier(
+                featuresCol="_features", labelCol="_label", predictionCol="_prediction",
+                weightCol="_weight", numTrees=trees, maxDepth=depth, seed=SEED,
+            ),
+            IndexToString(inputCol="_prediction", outputCol="predicted_value", labels=indexer.labels),
+        ]
+        return Pipeline(stages=stages).fit(indexer.transform(pairs))
+    finally:
+        pairs.unpersist()
 
 
 def predict_corrections(model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import spread
 from ledgerloom.sources.catalog import table
-from ledgerloom.vocab import MONTHS_ES_EN
+from ledgerloom.vocab import MONTHS_ES
 
-_MONTHS = "array(" + ", ".join(f"'{m}'" for m in MONTHS_ES_EN) + ")"
+_MONTHS = "array(" + ", ".join(f"'{m}'" for m in MONTHS_ES) + ")"
 _AMOUNT_TEXT = """CASE o_orderstatus
     WHEN 'F' THEN translate(format_number({0}, 2), ',.', '.,')
     WHEN 'O' THEN format_number({0}, 2)

@@ -55,17 +55,14 @@ CURRENCY_MARKS = ["€", "$", "EUR", "USD", "MXN", "COP"]
 TOTAL_MARKS = ["€", "$", "EUR", "MXN", "COP"]
 
 # --- dates -------------------------------------------------------------------
-MONTHS_ES_EN = {
-    "enero": "January", "febrero": "February", "marzo": "March", "abril": "April",
-    "mayo": "May", "junio": "June", "julio": "July", "agosto": "August",
-    "septiembre": "September", "octubre": "October", "noviembre": "November",
-    "diciembre": "December",
-}
-NUMERIC_DATE_FORMATS = ["d/M/yyyy", "d-M-yyyy", "yyyy/M/d", "yyyy-M-d"]
-WORDED_DATE_FORMATS = [
-    "d 'de' MMMM 'de' yyyy", "d MMMM yyyy", "d 'de' MMM 'de' yyyy", "d MMM yyyy",
+MONTHS_ES = [
+    "enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto",
+    "septiembre", "octubre", "noviembre", "diciembre",
+]
+MONTHS_EN = [
+    "january", "february", "march", "april", "may", "june", "july", "august",
+    "september", "october", "november", "december",
 ]
-SHORT_YEAR_FORMATS = ["d/M/yy", "d-M-yy"]
 
 # --- line items in free text -------------------------------------------------
 SECTION_START_WORDS = [
