@@ -157,7 +157,7 @@ def change_audit(items: DataFrame, changes: DataFrame) -> DataFrame:
 
 def delete_items(items: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove items by id (``doomed.item_id``); returns remaining items and audit rows."""
-    ids = doomed.select(F.col("item_id").alias("id"))
+    ids = doomed.select(F.col("item_id").alias("id")).distinct()
     old = F.to_json(F.struct("id", "invoice_id", *_ITEM_FIELDS), {"ignoreNullFields": "false"})
     audit = items.join(ids, "id", "left_semi").select(
         "invoice_id", F.col("id").alias("original_item_id"), F.lit("delete").alias("kind"),
@@ -173,7 +173,8 @@ def patch_log(log: DataFrame, appended: DataFrame, patches: DataFrame, removed:
     time stamp; removed ids vanish.
     """
     p = patches.select("id", F.col("corrected_value").alias("_value"), "patched_at")
-    rows = log.unionByName(appended).join(removed.select("id"), "id", "left_anti").join(p, "id", "left")
+    kept = log.unionByName(appended).join(removed.select("id").distinct(), "id", "left_anti")
+    rows = kept.join(p, "id", "left")
     hit = F.col("patched_at").isNotNull()
     return rows.withColumns({
         "corrected_value": F.when(hit, F.coalesce("_value", "corrected_value")).otherwise(F.col("corrected_value")),

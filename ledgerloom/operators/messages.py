@@ -24,18 +24,21 @@ def explode_attachments(messages: DataFrame) -> DataFrame:
 
 
 def newest_per_mailbox(messages: DataFrame, n: int = NEWEST_PER_MAILBOX) -> DataFrame:
-    """The newest messages of each mailbox.
+    """The newest messages of each mailbox; a uid is unique within its mailbox.
 
-    Spark limits each mailbox to n rows per map task before the shuffle, so a
-    mailbox with most of the messages does not end up whole in one task.
+    Only mailbox and uid are ranked, so no message body is sorted. Spark limits
+    each mailbox to n rows per map task before the shuffle, so a mailbox with
+    most of the messages does not end up whole in one task. The few keys left
+    then select the messages.
     """
     rank = F.row_number().over(Window.partitionBy("mailbox").orderBy(F.col("uid").desc()))
-    return messages.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    keys = messages.select("mailbox", "uid").withColumn("_rank", rank).where(F.col("_rank") <= n)
+    return messages.join(keys.drop("_rank"), ["mailbox", "uid"], "left_semi")
 
 
 def unprocessed(messages: DataFrame, ledger: DataFrame) -> DataFrame:
     """Messages that are not in the ledger; it may hold repeats."""
-    return messages.join(ledger.select("mailbox", "uid"), ["mailbox", "uid"], "left_anti")
+    return messages.join(ledger.select("mailbox", "uid").distinct(), ["mailbox", "uid"], "left_anti")
 
 
 def append_ledger(messages: DataFrame, path: str) -> None:

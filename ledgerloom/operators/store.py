@@ -102,7 +102,7 @@ def apply_header_corrections(invoices: DataFrame, corrections: DataFrame) -> Dat
 
 def replace_items(items: DataFrame, changed: DataFrame, new_items: DataFrame) -> DataFrame:
     """Invoices listed in ``changed`` get their new items (possibly none); others keep theirs."""
-    kept = items.join(changed.select("invoice_id"), "invoice_id", "left_anti")
+    kept = items.join(changed.select("invoice_id").distinct(), "invoice_id", "left_anti")
     return kept.unionByName(new_items)
 
 
@@ -112,6 +112,7 @@ def cascade_delete(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str,
     ``doomed`` has one column, ``invoice_id``.
     """
     out = {}
+    doomed = doomed.select("invoice_id").distinct()
     for name, df in tables.items():
         key = "id" if name == "invoices" else "invoice_id"
         out[name] = df.join(doomed.withColumnRenamed("invoice_id", key), key, "left_anti")
@@ -120,17 +121,22 @@ def cascade_delete(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str,
 
 def lookup(rows: DataFrame, keys: DataFrame, key: str, order: str = "id") -> DataFrame:
     """First row (lowest id) for each wanted key."""
-    hits = rows.join(keys.select(key), key, "left_semi")
+    hits = rows.join(keys.select(key).distinct(), key, "left_semi")
     first = F.min_by(F.struct(*rows.columns), F.col(order))
     return hits.groupBy(key).agg(first.alias("_row")).select("_row.*")
 
 
 def children(rows: DataFrame, keys: DataFrame, key: str = "invoice_id") -> DataFrame:
     """All rows that belong to the wanted invoices."""
-    return rows.join(keys.select(key), key, "left_semi")
+    return rows.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def with_items(invoices: DataFrame, items: DataFrame) -> DataFrame:
-    """Invoices with their items, one row per item; invoices without items stay."""
-    own = items.withColumnRenamed("id", "item_id")
-    return invoices.join(own, invoices["id"] == own["invoice_id"], "left").drop("invoice_id")
+    """Invoices with their items, one row per item; invoices without items stay.
+
+    Not one outer join: Spark cannot split a hot invoice's items there. The inner
+    join can be split, and the invoices without items are added separately.
+    """
+    own = items.withColumnsRenamed({"id": "item_id", "invoice_id": "id"})
+    bare = invoices.join(own.select("id").distinct(), "id", "left_anti")
+    return invoices.join(own, "id").unionByName(bare, allowMissingColumns=True)

@@ -9,6 +9,7 @@ from ledgerloom.functions import amounts, dates, text
 from ledgerloom.operators.header import extract_header
 from ledgerloom.plans.fixtures import DATE_TEXT, LINE_KEYS, invoice_texts
 from ledgerloom.plans.registry import query
+from ledgerloom.session import spread
 from ledgerloom.sources.catalog import table
 
 
@@ -22,7 +23,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   CASE WHEN l_linenumber < 6 THEN l_extendedprice END AS entity_amount
 FROM lineitem""")
 def amount_normalise(spark: SparkSession, folder: str) -> DataFrame:
-    shown = table(spark, folder, "lineitem").selectExpr(*LINE_KEYS, """CASE l_linenumber
+    shown = spread(table(spark, folder, "lineitem")).selectExpr(*LINE_KEYS, """CASE l_linenumber
         WHEN 1 THEN translate(format_number(l_extendedprice, 2), ',.', '.,')
         WHEN 2 THEN concat(' ', format_number(l_extendedprice, 2), '\t')
         WHEN 3 THEN cast(cast(l_extendedprice AS decimal(18,2)) AS string)
@@ -51,7 +52,7 @@ SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date_any,
   CASE WHEN o_orderpriority NOT LIKE '3%' THEN strftime(o_orderdate, '%Y-%m-%d') END AS date_digits
 FROM orders""")
 def date_normalise(spark: SparkSession, folder: str) -> DataFrame:
-    shown = table(spark, folder, "orders").selectExpr("o_orderkey", f"{DATE_TEXT} AS shown")
+    shown = spread(table(spark, folder, "orders")).selectExpr("o_orderkey", f"{DATE_TEXT} AS shown")
     return shown.select(
         "o_orderkey",
         day(dates.date_long(F.col("shown"))).alias("date_any"),
@@ -98,7 +99,7 @@ SELECT doc_id,
   md5(regexp_replace(text, '[^\t\n\r\x20-\x7E\x{80}-\x{FF}]+', ' ', 'g')) AS cleaned_latin1
 FROM documents""")
 def xml_clean(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select(
         "doc_id",
         F.md5(text.clean_xml(F.col("text"))).alias("cleaned"),
         F.md5(text.clean_xml_latin1(F.col("text"))).alias("cleaned_latin1"),
