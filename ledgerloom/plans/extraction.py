@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import hints, terms
+from ledgerloom.operators import documents, hints, terms
 from ledgerloom.operators.header import extract_header
 from ledgerloom.operators.lines import extract_lines
 from ledgerloom.operators.pages import concat_pages
@@ -310,6 +310,21 @@ def last_entity(spark: SparkSession, folder: str) -> DataFrame:
     return terms.last_entities(_entities(spark, folder, labels), ["user_id"])
 
 
+@query("""
+SELECT o_orderkey AS doc_key, CASE o_orderstatus WHEN 'F' THEN 'xml' ELSE 'pdf' END AS kind, 'FV-' || o_orderkey AS invoice_number,
+  o_totalprice AS total_amount, strftime(o_orderdate, '%Y-%m-%d') AS issue_date,
+  'Parte ' || o_custkey || ' azul' AS description, 2.0::DOUBLE AS quantity, o_totalprice AS unit_price,
+  CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 2 AS DOUBLE) AS line_total
+FROM orders""")
+def document_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Archives with an XML and a text member; only a third has a complete XML invoice."""
+    headers, items = documents.read_documents(fx.archive_members(spark, folder), "doc_key")
+    return headers.join(items, "doc_key").select(
+        "doc_key", "kind", "invoice_number", "total_amount", day("issue_date").alias("issue_date"),
+        "description", "quantity", "unit_price", "line_total",
+    )
+
+
 @query("""
 SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS text_md5, count(*) AS pages FROM conversations GROUP BY conv_id""")
 def page_concat(spark: SparkSession, folder: str) -> DataFrame:

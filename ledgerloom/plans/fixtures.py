@@ -142,6 +142,23 @@ def invoice_documents(spark: SparkSession, folder: str) -> DataFrame:
     return orders.selectExpr("o_orderkey AS doc_key", f"{invoice_xml()} AS xml")
 
 
+def archive_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Two members per order: a text, and an XML that is complete for one status only."""
+    text = f"""concat('Descripción Cantidad Valor Unitario 1\nParte ', o_custkey, ' azul 2 ', total, '\nSubtotal ', subtotal,
+        '\nNúmero de factura: FV-', o_orderkey, '\nFecha: ', {DATE_TEXT}, '\nTOTAL A PAGAR: $ ', total)"""
+    line = """'<cac:InvoiceLine><cbc:ID>1</cbc:ID><cbc:InvoicedQuantity>2</cbc:InvoicedQuantity><cbc:LineExtensionAmount>', total * 2,
+        '</cbc:LineExtensionAmount><cac:Item><cbc:Description>Parte ', o_custkey, ' azul</cbc:Description></cac:Item>',
+        '<cac:Price><cbc:PriceAmount>', total, '</cbc:PriceAmount></cac:Price></cac:InvoiceLine></Invoice>'"""
+    complete = f"concat(replace({invoice_xml()}, '</Invoice>', ''), {line})"
+    partial = invoice_xml("cast(NULL AS string)")
+    xml = f"CASE o_orderstatus WHEN 'F' THEN {wrap_xml(complete)} WHEN 'O' THEN {partial} ELSE '<ApplicationResponse/>' END"
+    return orders_with_amounts(spread(table(spark, folder, "orders"))).selectExpr(
+        "o_orderkey AS doc_key",
+        f"inline(array(named_struct('member_no', 1, 'kind', 'pdf', 'payload', {text}), "
+        f"named_struct('member_no', 2, 'kind', 'xml', 'payload', {xml})))",
+    )
+
+
 def wrap_xml(xml: str) -> str:
     """SQL expression for an attached-document wrapper around an invoice."""
     return (

@@ -78,6 +78,22 @@ def test_overlay_items(spark):
     assert rows == {(" a ", 1.0, 2.0, 7.0), ("B3", 4.0, 2.5, 10.0), ("D", None, 2.0, 3.0), ("E", 1.0, 1.0, 1.0)}
 
 
+def test_store_batch(spark):
+    from ledgerloom.operators.documents import store_batch
+
+    invoices = spark.createDataFrame([(1, "f/a", "A", "u@x", None, 5.0), (2, "f/b", "B", "u@x", 1, 6.0)], "id BIGINT, file_path STRING, invoice_number STRING, customer_email STRING, user_id BIGINT, total_amount DOUBLE")
+    items = spark.createDataFrame([(1, "old", 1.0, 1.0, 1.0), (2, "kept", 1.0, 1.0, 1.0)], "invoice_id BIGINT, description STRING, quantity DOUBLE, unit_price DOUBLE, line_total DOUBLE")
+    records = spark.createDataFrame([(1, "f/a", "A2", "u@x", 7.0), (2, "f/n", "N", "w@x", 8.0)], "seq BIGINT, file_path STRING, invoice_number STRING, customer_email STRING, total_amount DOUBLE")
+    fresh = spark.createDataFrame([("f/a", 1, "new", 1.0, 2.0, 2.0), ("f/a", 2, "wrong", 1.0, 2.0, 2.0), ("f/n", 1, "n", 1.0, 1.0, 1.0)], "file_path STRING, line_no INT, description STRING, quantity DOUBLE, unit_price DOUBLE, line_total DOUBLE")
+    users = spark.createDataFrame([(9, "u@x")], "id BIGINT, email STRING")
+    log = spark.createDataFrame([(1, 1, "invoice_number", "A", "FIXED", dt.datetime(2024, 1, 1))], "id BIGINT, invoice_id BIGINT, field STRING, original_value STRING, corrected_value STRING, corrected_at TIMESTAMP_NTZ")
+    item_log = spark.createDataFrame([(1, 1, "delete", 5, None, '{"description":"wrong","quantity":1,"unit_price":2}', None)], "id BIGINT, invoice_id BIGINT, kind STRING, original_item_id BIGINT, field STRING, original_value STRING, corrected_value STRING")
+    new, new_items = store_batch(invoices, items, records, fresh, users, log, item_log)
+    rows = {r.file_path: (r.id, r.invoice_number, r.user_id, r.total_amount) for r in new.collect()}
+    assert rows == {"f/a": (1, "FIXED", 9, 7.0), "f/b": (2, "B", 1, 6.0), "f/n": (4, "N", None, 8.0)}
+    assert {(r.invoice_id, r.description) for r in new_items.collect()} == {(1, "new"), (2, "kept"), (4, "n")}
+
+
 def test_audits(spark):
     items = spark.createDataFrame([(1, 7, "A", 23.0, None, 1.0)], "id BIGINT, invoice_id BIGINT, description STRING, quantity DOUBLE, unit_price DOUBLE, line_total DOUBLE")
     changes = spark.createDataFrame([(1, 1, "quantity", "23,00"), (2, 1, "unit_price", "5"), (3, 1, "description", "A"), (4, 9, "quantity", "1")], "id BIGINT, item_id BIGINT, field STRING, corrected_value STRING")
