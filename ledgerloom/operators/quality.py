@@ -18,6 +18,12 @@ def validate(records: DataFrame, fields: list[str] = REQUIRED_FIELDS) -> DataFra
     return records.withColumn("missing", missing_fields(fields)).withColumn("valid", F.col("missing") == "")
 
 
+def null_report(records: DataFrame) -> DataFrame:
+    """Rows in total and nulls per column, in one pass: which rows cannot be trained on."""
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in records.columns]
+    return records.agg(F.count("*").alias("total"), *nulls)
+
+
 def with_outcome(records: DataFrame, succeeded: Column) -> DataFrame:
     """Mark each record as processed or error."""
     ok = F.coalesce(succeeded, F.lit(False))

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import combine, hints, messages as msg, quality
+from ledgerloom.operators import combine, hints, messages as msg, quality, store
 from ledgerloom.operators.header import extract_header
 from ledgerloom.operators.learning import merge_patterns
-from ledgerloom.operators.store import canonical_items, canonicalise
 from ledgerloom.plans import fixtures as fx
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.scalars import day
@@ -249,13 +248,13 @@ def run_summary(spark: SparkSession, folder: str) -> DataFrame:
 @query("""
 SELECT o_orderkey AS invoice_number, o_totalprice AS total_amount, CASE WHEN o_orderstatus = 'F' THEN 'COP' END AS currency,
   CASE WHEN o_orderpriority > '2' THEN o_orderpriority END AS supplier_name, 'f/' || o_orderkey AS file_path FROM orders""")
-def canonicalise_fields(spark: SparkSession, folder: str) -> DataFrame:
+def canonicalise(spark: SparkSession, folder: str) -> DataFrame:
     produced = table(spark, folder, "orders").selectExpr(
         "o_orderkey AS numero_factura", "o_totalprice AS monto_total", "CASE WHEN o_orderstatus = 'F' THEN 'COP' ELSE '' END AS moneda",
         "CASE WHEN o_orderpriority > '2' THEN o_orderpriority ELSE 'No encontrado' END AS nombre_proveedor",
         "concat('f/', o_orderkey) AS file_path",
     )
-    return canonicalise(produced)
+    return store.canonicalise(produced)
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS value FROM orders""")
@@ -274,7 +273,7 @@ def item_names(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "CASE WHEN l_returnflag = 'A' THEN cast(l_partkey AS string) END AS description",
         "cast(l_partkey AS string) AS descripcion", "l_tax AS quantity", "9.0D AS cantidad", "l_extendedprice AS precio_unitario",
     )
-    return canonical_items(produced).withColumn("line_total", F.col("line_total").cast("double"))
+    return store.canonical_items(produced).withColumn("line_total", F.col("line_total").cast("double"))
 
 
 @query("""

@@ -247,7 +247,7 @@ ITEM_CHANGES = [
     "CASE event_type WHEN 'click' THEN 'description' WHEN 'view' THEN 'quantity' "
     "WHEN 'purchase' THEN 'unit_price' ELSE 'line_total' END AS field",
     "CASE event_type WHEN 'click' THEN concat('Producto ', get_json_object(props, '$.k')) "
-    "WHEN 'view' THEN cast(1 + event_id % 3 AS string) "
+    "WHEN 'view' THEN get_json_object(props, '$.k') "
     "ELSE replace(cast(cast(value AS decimal(18,2)) AS string), '.', ',') END AS corrected_value",
 ]
 ITEM_CHANGES_SQL = """
@@ -255,7 +255,7 @@ ITEM_CHANGES_SQL = """
     CASE event_type WHEN 'click' THEN 'description' WHEN 'view' THEN 'quantity'
       WHEN 'purchase' THEN 'unit_price' ELSE 'line_total' END AS field,
     CASE event_type WHEN 'click' THEN 'Producto ' || (props->>'$.k')
-      WHEN 'view' THEN CAST(1 + event_id % 3 AS VARCHAR)
+      WHEN 'view' THEN props->>'$.k'
       ELSE replace(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), '.', ',') END AS corrected_value
   FROM events"""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import features, learning as learn_ops, models
+from ledgerloom.operators import features, learning as learn_ops, models, quality
 from ledgerloom.operators.corrections import upsert_corrections
 from ledgerloom.plans import fixtures as fx
 from ledgerloom.plans.registry import query
@@ -96,6 +96,16 @@ def _training_log(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT count(*) AS total, count(*) FILTER (event_type = 'error') AS null_original_value,
+  count(*) FILTER (value < 10) AS null_corrected_value FROM events""")
+def training_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.null_report(table(spark, folder, "events").selectExpr(
+        "CASE WHEN event_type <> 'error' THEN event_type END AS original_value",
+        "CASE WHEN value >= 10 THEN value END AS corrected_value",
+    ))
+
+
 @query()
 def ml_train_predict(spark: SparkSession, folder: str) -> DataFrame:
     log = _training_log(spark, folder)
