@@ -191,6 +191,32 @@ def subject_hint(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("""
+WITH r AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus AS st, CASE WHEN o_orderpriority < '3' THEN '' ELSE 'Empresa ' || o_custkey END AS name,
+    CASE WHEN o_orderpriority < '2' THEN NULL ELSE '900' || o_custkey || '1' END AS tax, 'FV' || o_orderkey AS number FROM orders),
+h AS (
+  SELECT o_orderkey, CASE WHEN name = '' THEN 'Casa Norte' ELSE name END AS name, tax, number,
+    CASE st WHEN 'F' THEN 'EMPRESA ' || o_custkey WHEN 'O' THEN 'Otra Firma' END AS hname,
+    CASE st WHEN 'F' THEN '900' || o_custkey || '1' WHEN 'O' THEN '777777777777' END AS htax,
+    CASE WHEN st <> 'P' THEN 'FV' || o_orderkey || 'X' END AS hnumber FROM r)
+SELECT o_orderkey,
+  CASE WHEN hname IS NOT NULL AND 1 - levenshtein(lower(name), lower(hname)) / greatest(length(name), length(hname)) < 0.7 THEN hname ELSE name END AS supplier_name,
+  CASE WHEN htax IS NOT NULL AND (tax IS NULL OR 1 - levenshtein(tax, htax) / greatest(length(tax), length(htax)) < 0.7) THEN htax ELSE tax END AS supplier_tax_id,
+  CASE WHEN hnumber IS NOT NULL AND 1 - levenshtein(lower(number), lower(hnumber)) / greatest(length(number), length(hnumber)) < 0.7 THEN hnumber ELSE number END AS invoice_number
+FROM h""")
+def header_hints(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "orders").selectExpr(
+        "o_orderkey", "CASE WHEN o_orderpriority < '3' THEN '' ELSE concat('Empresa ', o_custkey) END AS supplier_name",
+        "CASE WHEN o_orderpriority < '2' THEN NULL ELSE concat('900', o_custkey, '1') END AS supplier_tax_id",
+        "concat('FV', o_orderkey) AS invoice_number", "'ventas@casa-norte.com' AS email_sender",
+        "CASE o_orderstatus WHEN 'F' THEN concat('900.', o_custkey, '-1;EMPRESA ', o_custkey, ';FV ', o_orderkey, ';x') "
+        "WHEN 'O' THEN concat('777777777777;Otra Firma;fv', o_orderkey, ';x') ELSE 'sin datos' END AS email_subject",
+    )
+    out = hints.apply_hints(records, similarity=hints.levenshtein_similarity)
+    return out.drop("email_sender", "email_subject")
+
+
 _FUZZY = """CASE left(o_orderpriority, 1) WHEN '1' THEN upper({c}) WHEN '2' THEN {r}
     WHEN '3' THEN 'Otra empresa' WHEN '4' THEN '' ELSE {x} END"""
 

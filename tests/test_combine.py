@@ -29,6 +29,14 @@ def test_priority_and_types(spark):
     assert (rows[4].total_amount, rows[4].issue_date) == (None, None)
 
 
+def test_wide_records_as_outputs(spark):
+    regex = spark.createDataFrame([(1, "R", None), (2, None, None)], "doc INT, invoice_number STRING, total_amount DOUBLE")
+    nlp = spark.createDataFrame([(1, 5.0), (2, None)], "doc INT, total_amount DOUBLE")
+    long = combine.as_outputs(regex, ["doc"], "regex").unionByName(combine.as_outputs(nlp, ["doc"], "nlp"))
+    rows = combine.combine_fields(long, ["doc"]).collect()
+    assert [(r.doc, r.invoice_number, r.total_amount) for r in rows] == [(1, "R", 5.0)]
+
+
 def test_source_precedence(spark):
     def inv(n, total):
         return f"<Invoice><cbc:ID>{n}</cbc:ID>" + (f"<cac:LegalMonetaryTotal><cbc:PayableAmount>{total}</cbc:PayableAmount></cac:LegalMonetaryTotal>" if total else "") + "</Invoice>"
