@@ -26,7 +26,8 @@ def tfidf(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     document, never more than the document itself.
     """
     tf = term_counts(docs, key, text_col)
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    # Reads tf, so that both uses of the counts have one plan and share its shuffle.
+    df = tf.groupBy("token").agg(F.count_if(F.col("tf") > 0).alias("df"))
     n = docs.agg(F.count("*").alias("n")).scalar()
     idf = F.log((n + F.lit(1)) / (F.col("df") + 1)) + 1
     weighted = tf.join(df, "token").withColumn("_raw", F.col("tf") * idf)
