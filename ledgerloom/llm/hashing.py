@@ -55,13 +55,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and number of every word; a word does not go beyond a cut."""
+def word_spans(data: np.ndarray, cuts: np.ndarray, gap: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and number of every word, a run of bytes that are no gap; a word does not go beyond a cut."""
     n = len(data)
     if not n:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     power, inverse = _power_tables(n)
-    word = ~_IS_SPACE[data]
+    word = ~gap[data]
     inner = cuts[(cuts > 0) & (cuts < n)]
     begins, ends = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
@@ -71,7 +71,7 @@ def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     running = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * power[:n], out=running[1:])
-    return starts, mixed((running[stops] - running[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
+    return starts, stops, mixed((running[stops] - running[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
 
 
 def _long_text(data: np.ndarray) -> np.ndarray:
@@ -84,7 +84,7 @@ def _long_text(data: np.ndarray) -> np.ndarray:
                 stop = at + int(spaces[-1]) + 1
                 break
             stop = min(stop + PIECE, len(data))
-        found.append(_words(data[at:stop], np.zeros(0, dtype=np.int64))[1])
+        found.append(word_spans(data[at:stop], np.zeros(0, dtype=np.int64))[2])
         at = stop
     return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
@@ -102,7 +102,7 @@ def hashed_words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
             words = _long_text(piece)
             yield first, last, words, np.array([0, len(words)])
         else:
-            starts, words = _words(piece, cuts)
+            starts, _, words = word_spans(piece, cuts)
             yield first, last, words, np.searchsorted(starts, cuts)
         first = last
 
