@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +45,15 @@ def word_count(text: Column) -> Column:
 def digest_number(*parts: Column, digits: int) -> Column:
     """A number of so many hexadecimal digits from the MD5 of the parts, the same in every engine."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, digits), 16, 10).cast("long")
+
+
+def keeps_names(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For a function of a table: columns that begin with an underscore pass it by, as its own names do so."""
+
+    @functools.wraps(work)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        hidden = {c: f"own{i}{c}" for i, c in enumerate(df.columns) if c.startswith("_")}
+        out = work(df.withColumnsRenamed(hidden), *args, **options)
+        return out.withColumnsRenamed({v: k for k, v in hidden.items()})
+
+    return run

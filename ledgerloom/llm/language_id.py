@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import keeps_names, table
 from ledgerloom.llm.hashing import PIECE, word_spans
 from ledgerloom.llm.registry import query
 
@@ -321,6 +321,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([(lang, text) for lang, _, text in found])
 
 
+@keeps_names
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score added (replacing such columns).
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.once import select_once
-from ledgerloom.llm.common import ascii_lower, table
+from ledgerloom.llm.common import ascii_lower, keeps_names, table
 from ledgerloom.llm.registry import query
 
 #: Words: digits, letters a-z and everything beyond ASCII.
@@ -60,7 +60,7 @@ TEMPLATES = (
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "for any purpose with or without fee is hereby granted"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
 )
-#: Postings of a template: its so many rarest words.
+#: Postings of a template: the so many rarest words of its key phrase, all of which stand wherever it is found.
 POSTINGS = 3
 #: Least share of a template's words, weighed by rarity, that must agree.
 AGREEMENT = 0.6
@@ -84,7 +84,7 @@ def rarity(files: DataFrame, text: str = "text") -> dict[str, float]:
 
 
 def rarest(t: Template, idf: dict[str, float]) -> list[str]:
-    return sorted(set(t.words), key=lambda w: (-idf[w], w))[:POSTINGS]
+    return sorted(set(t.key.split()), key=lambda w: (-idf[w], w))[:POSTINGS]
 
 
 def _struct(fields: dict[str, object]) -> str:
@@ -92,6 +92,7 @@ def _struct(fields: dict[str, object]) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {text(v)}" for k, v in fields.items()) + ")"
 
 
+@keeps_names
 def scan(files: DataFrame, text: str = "text", idf: dict[str, float] | None = None) -> DataFrame:
     """``files`` with n_words, n_base, first_word, last_word, base_labels, labels and score added.
 
@@ -107,7 +108,7 @@ def scan(files: DataFrame, text: str = "text", idf: dict[str, float] | None = No
     postings: dict[str, list[tuple[int, int]]] = {}
     for k, t in enumerate(TEMPLATES):
         for w in rarest(t, idf):
-            postings.setdefault(w, []).extend((k, p) for p, x in enumerate(t.words) if x == w)
+            postings.setdefault(w, []).extend((k, p) for p in t.key_span if t.words[p] == w)
     index = F.expr(
         "map(" + ", ".join(f"'{w}', array({', '.join(_struct({'k': k, 'p': p}) for k, p in places)})" for w, places in postings.items()) + ")"
     )
@@ -173,11 +174,11 @@ def _oracle() -> str:
     rare AS (
         SELECT k, word FROM (
             SELECT k, u.word, row_number() OVER (PARTITION BY k ORDER BY idf DESC, u.word) AS r
-            FROM (SELECT DISTINCT k, word FROM t) AS u JOIN idf ON idf.word = u.word) AS x WHERE r <= {POSTINGS}),
+            FROM (SELECT DISTINCT k, word FROM t WHERE must) AS u JOIN idf ON idf.word = u.word) AS x WHERE r <= {POSTINGS}),
     weight AS (SELECT t.*, idf / sum(idf) OVER (PARTITION BY k) AS i FROM t JOIN idf ON idf.word = t.word),
     proposed AS (
         SELECT DISTINCT w.doc_id, t.k, w.pos - t.p AS st
-        FROM w JOIN t ON t.word = w.word JOIN rare ON rare.k = t.k AND rare.word = t.word),
+        FROM w JOIN t ON t.must AND t.word = w.word JOIN rare ON rare.k = t.k AND rare.word = t.word),
     judged AS (
         SELECT p.doc_id, p.k, p.st, any_value(x.label) AS label, any_value(x.base) AS base,
                sum(CASE WHEN w.pos IS NULL THEN 0 ELSE x.i END) AS share, bool_and(w.pos IS NOT NULL OR NOT x.must) AS fine

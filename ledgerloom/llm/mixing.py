@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import digest_number, staged, table, word_count
+from ledgerloom.llm.common import digest_number, keeps_names, staged, table, word_count
 from ledgerloom.llm.registry import query
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -79,6 +79,7 @@ def mix(
     return mix_sized(sized, weights, share, most, seed)
 
 
+@keeps_names
 def mix_sized(
     sized: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -140,8 +141,8 @@ def materialise(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row for each repetition; a fractional one becomes a row if it is at least half of the document."""
     half = F.col("part") * 2 >= F.greatest(F.col("size"), F.lit(1))
     count = (F.col("repeats") + half.cast("int")).cast("int")
-    rows = mixed.where(count > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), count)))
-    return rows.select(*[f"`{c}`" for c in columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return mixed.where(count > 0).select(F.explode(F.array_repeat(row, count)).alias("row")).select("row.*")
 
 
 _ORACLE = f"""

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.once import select_once
-from ledgerloom.llm.common import staged, table
+from ledgerloom.llm.common import keeps_names, staged, table
 from ledgerloom.llm.registry import query
 
 # Shapes of the base entities, in the order in which kinds are listed.
@@ -124,11 +124,11 @@ def _spans(rows: DataFrame, keep: list[str], text: str, kind: str, rank: int, sh
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with text_key, base spans and candidate spans (those that meet no base span)."""
-    own = [f"`{c}`" for c in docs.columns if c != text and c not in ("text_key", "base", "candidates")]
+    """``docs`` without the text, with the text's digest, base spans and candidate spans (those that meet no base span)."""
+    own = [f"`{c}`" for c in docs.columns if c != text and c.lower() not in ("base", "found")]
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(*own, F.md5(whole).alias("text_key"), whole.alias("_text"))
-    keep = [*own, "text_key", "_text"]
+    rows = docs.select(*own, F.md5(whole).alias("_text_key"), whole.alias("_text"))
+    keep = [*own, "_text_key", "_text"]
     for rank, (kind, shape) in enumerate(KINDS.items()):
         rows = _spans(rows, keep, "_text", kind, rank, shape, NEEDED[kind])
         keep.append(f"_{kind}")
@@ -137,19 +137,19 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
         F.flatten(F.array(*[F.col(f"_{k}") for k in KINDS])),
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]),
     )
-    rows = select_once(rows, [*own, "text_key", "_candidate"], [base.alias("base")])
-    free = F.filter("_candidate", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return rows.select(*own, "text_key", "base", F.when(F.size("_candidate") > 0, free).otherwise(F.col("_candidate")).alias("candidates"))
+    rows = select_once(rows, [*own, "_text_key", "_candidate"], [base.alias("_base")])
+    free = F.filter("_candidate", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    return rows.select(*own, "_text_key", "_base", F.when(F.size("_candidate") > 0, free).otherwise(F.col("_candidate")).alias("_candidates"))
 
 
 def discover(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Identifiers that high-confidence patterns lead to: instance, kind.
 
-    ``found`` has base and candidates. Each (pattern, instance) counts once however
+    ``found`` comes from ``entities``. Each (pattern, instance) counts once however
     often it stands, so that copies of a text add no weight.
     """
-    seeds = found.select(F.explode("base").alias("s")).select("s.pattern", "s.instance", "s.kind")
-    others = found.select(F.explode("candidates").alias("s")).select("s.pattern", "s.instance", F.lit(None).cast("string"))
+    seeds = found.select(F.explode("_base").alias("s")).select("s.pattern", "s.instance", "s.kind")
+    others = found.select(F.explode("_candidates").alias("s")).select("s.pattern", "s.instance", F.lit(None).cast("string"))
     graph = staged(seeds.union(others).where("pattern is not null").distinct(), "graph")
     like = F.array(*[F.when(F.col("instance").rlike(shape), F.lit(k)) for k, shape in LIKE.items()])
     free = graph.where("kind is null").select("pattern", "instance", F.explode(F.array_compact(like)).alias("kind"))
@@ -174,6 +174,7 @@ def discover(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, con
     return learned.groupBy("instance").agg(F.max_by("kind", F.struct("sure", "kind")).alias("kind"))
 
 
+@keeps_names
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the text, with base and found added: arrays of (kind, start, end).
 
@@ -184,17 +185,17 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = staged(entities(docs, text), "entities")
     learned = discover(rows)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    candidates = rows.where(F.size("candidates") > 0).dropDuplicates(["text_key"]).select("text_key", F.explode("candidates").alias("c"))
+    candidates = rows.where(F.size("_candidates") > 0).dropDuplicates(["_text_key"]).select("_text_key", F.explode("_candidates").alias("c"))
     more = (
-        candidates.select("text_key", "c.start", "c.end", "c.instance")
+        candidates.select("_text_key", "c.start", "c.end", "c.instance")
         .join(learned, "instance")
-        .groupBy(F.col("text_key").alias("_key"))
+        .groupBy(F.col("_text_key").alias("_key"))
         .agg(F.collect_list(F.struct("kind", rank.alias("rank"), "start", "end")).alias("_more"))  # of one text
     )
-    joined = rows.join(more, F.col("text_key") == F.col("_key"), "left")
-    own = [f"`{c}`" for c in rows.columns if c not in ("text_key", "base", "candidates")]
+    joined = rows.join(more, F.col("_text_key") == F.col("_key"), "left")
+    own = [f"`{c}`" for c in rows.columns if c not in ("_text_key", "_base", "_candidates")]
     slim = lambda a: F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end")))
-    base = slim(F.col("base"))
+    base = slim(F.col("_base"))
     return joined.select(*own, base.alias("base"), F.coalesce("_more", F.filter(base, lambda s: F.lit(False))).alias("found"))
 
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import digest_number, table
+from ledgerloom.llm.common import digest_number, keeps_names, table
 from ledgerloom.llm.registry import query
 
 #: Slots of the lookup table; prime, and over 100 slots for each shard. Also the
@@ -49,6 +49,7 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return F.pmod(digest_number(key, digits=12), F.lit(slots)).cast("int")
 
 
+@keeps_names
 def place(df: DataFrame, key: Column, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """``df`` with columns ``slot`` and ``shard`` added (replacing columns of these names).
 

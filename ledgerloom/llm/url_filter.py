@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import keeps_names, table
 from ledgerloom.llm.registry import query
 
 #: Day on which an entry without a removal ends.
@@ -55,6 +55,7 @@ def intervals(changes: DataFrame) -> DataFrame:
     )
 
 
+@keeps_names
 def filter_urls(captures: DataFrame, changes: DataFrame, url: str = "url", day: str = "fetched") -> DataFrame:
     """``captures`` with host, blocked, lists, entry and entry_from added (replacing such columns).
 
