@@ -17,29 +17,39 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 LEAST_SURE = 0.35
 
 
+def _aside(docs: DataFrame, added: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Apply ``work``, and give its rows with the columns of ``docs``, also those named as what it adds."""
+    own = {c: f"own_{c}" for c in docs.columns if c.lower() in added}
+    done = work(docs.withColumnsRenamed(own))
+    return done.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Drop documents without a recognisable language; the field is fitted on the labelled ones."""
-    found = language_id.identify(docs, language_id.train(docs))
+    model = language_id.train(docs)
     sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SURE)
-    return found.where(sure).select(*[f"`{c}`" for c in docs.columns])
+    return _aside(docs, ("lang_pred", "score"), lambda own: language_id.identify(own, model).where(sure))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Keep one document, the one of smallest id, of each near-duplicate component."""
     judged = near_dup.near_duplicates(docs)
     dropped = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Drop documents that hold passages of the benchmark."""
-    marked = mark_leaks(docs, table(spark, folder, "benchmark"))
-    return marked.where(F.size("leaks") == 0).select(*[f"`{c}`" for c in docs.columns])
+    benchmark = table(spark, folder, "benchmark")
+    return _aside(docs, ("leaks",), lambda own: mark_leaks(own, benchmark).where(F.size("leaks") == 0))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Repeat or leave out documents so that the sources reach their target sizes."""
-    return mixing.materialise(mixing.mix(docs), docs.columns)
+    def work(own: DataFrame) -> DataFrame:
+        return mixing.materialise(mixing.mix(own), own.columns)
+
+    return _aside(docs, mixing.ADDED, work)
 
 
 def shard(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
