@@ -11,8 +11,9 @@ from ledgerloom.vocab import CURRENCY_MARKS
 _PLAIN_NUMBER = r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))$"
 _DOTS_BEFORE_DECIMAL_COMMA = r"\.(?=.*,[^.]*$)"
 _COMMAS_BEFORE_DECIMAL_DOT = r",(?=.*\.)"
-# Of several dots all but the last; the last one too before three or more digits.
-_GROUPING_DOTS = r"\.(?=.*\.)|(?<=\.[^.]{0,40})\.(?=[^.]{3,}$)"
+# Of several dots all but the last; after such a one, also a last dot before three digits and more.
+_DOTS_BUT_LAST = r"\.(?=.*\.)"
+_LAST_DOT_GROUPS = r"^(.*,.*)\.([^.]{3,})$"
 
 
 def marks_regex(marks: list[str]) -> str:
@@ -30,6 +31,12 @@ def _decimal_dot(v: Column) -> Column:
     return F.translate(F.regexp_replace(no_dots, _COMMAS_BEFORE_DECIMAL_DOT, ""), ",", ".")
 
 
+def _no_grouping_dots(v: Column) -> Column:
+    """For text without commas, which here stand for the grouping dots."""
+    marked = F.regexp_replace(v, _DOTS_BUT_LAST, ",")
+    return F.translate(F.regexp_replace(marked, _LAST_DOT_GROUPS, "$1$2"), ",", "")
+
+
 def amount_auto(c: Column) -> Column:
     """Amount whose decimal mark is read off the text.
 
@@ -41,7 +48,7 @@ def amount_auto(c: Column) -> Column:
     """
     v = F.regexp_replace(strip(c), rf"^(?:{marks_regex(CURRENCY_MARKS)})\s*", "")
     return plain_double(
-        F.when(F.contains(v, F.lit(",")), _decimal_dot(v)).otherwise(F.regexp_replace(v, _GROUPING_DOTS, ""))
+        F.when(F.contains(v, F.lit(",")), _decimal_dot(v)).otherwise(_no_grouping_dots(v))
     )
 
 

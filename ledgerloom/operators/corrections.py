@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import amount_es
 from ledgerloom.functions.text import item_signature
+from ledgerloom.sources.snapshots import conform
 from ledgerloom.vocab import CORRECTION_KINDS, ITEM_NUMBER_FIELDS
 
 _ITEM_FIELDS = ["description", *ITEM_NUMBER_FIELDS]
@@ -120,6 +121,17 @@ def update_items(items: DataFrame, changes: DataFrame) -> DataFrame:
     ])
 
 
+def replay_item_fields(items: DataFrame, log: DataFrame) -> DataFrame:
+    """Apply logged changes of single fields (kind, original_item_id, field, corrected_value, id).
+
+    These rows hold a plain value and not an item payload. Run it before
+    ``overlay_items``, which applies the payloads. The latest change of a field counts.
+    """
+    plain = ~F.startswith(F.ltrim("corrected_value"), F.lit("{"))
+    changes = log.where((kind_code(F.col("kind")) == "update") & F.col("field").isin(*_ITEM_FIELDS) & plain)
+    return update_items(items, changes.select(F.col("original_item_id").alias("item_id"), "field", "corrected_value", "id"))
+
+
 def add_items(items: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add requested items; returns the new items table and the audit rows.
 
@@ -166,13 +178,25 @@ def delete_items(items: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFr
     return items.join(ids, "id", "left_anti"), audit
 
 
+def log_rows(log: DataFrame, at: Column, changed: DataFrame, added: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Audit rows of updates, additions and deletions as rows that can be appended to the item log.
+
+    Their ids are above the log's largest, unique and without order.
+    """
+    changed = changed.withColumnRenamed("item_id", "original_item_id").withColumn("kind", F.lit("update"))
+    rows = changed.unionByName(added, allowMissingColumns=True).unionByName(deleted, allowMissingColumns=True)
+    top = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
+    return conform(rows.withColumns({"id": top + 1 + F.monotonically_increasing_id(), "corrected_at": at}), "item_corrections")
+
+
 def patch_log(log: DataFrame, appended: DataFrame, patches: DataFrame, removed: DataFrame) -> DataFrame:
     """Append to, patch and delete from a correction log.
 
     Patches (id, corrected_value, patched_at) replace the value and refresh the
-    time stamp; removed ids vanish.
+    time stamp, of several for one id the latest; removed ids vanish.
     """
-    p = patches.select("id", F.col("corrected_value").alias("_value"), "patched_at")
+    newest = F.max_by("corrected_value", F.struct("patched_at", "corrected_value"))
+    p = patches.groupBy("id").agg(newest.alias("_value"), F.max("patched_at").alias("patched_at"))
     kept = log.unionByName(appended).join(removed.select("id").distinct(), "id", "left_anti")
     rows = kept.join(p, "id", "left")
     hit = F.col("patched_at").isNotNull()

@@ -79,13 +79,10 @@ def merge_patterns(base: DataFrame, learned: DataFrame) -> DataFrame:
     )
 
 
-def patterns_as_dict(patterns: DataFrame, limit: int = 1000) -> dict[str, str]:
-    """The pattern table as a dictionary for ``extract_header``.
-
-    One row per field by construction; a table of more than ``limit`` fields is
-    refused rather than cut.
-    """
-    rows = patterns.select("field", "regex").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} patterns; expected one per field")
-    return {r["field"]: r["regex"] for r in rows}
+def patterns_as_dict(patterns: DataFrame) -> dict[str, str]:
+    """The pattern table as a dictionary for ``extract_header``: one pattern for each field, else an error."""
+    rows = patterns.select("field", "regex").collect()
+    found = {r["field"]: r["regex"] for r in rows}
+    if len(found) < len(rows):
+        raise ValueError("a field has several patterns")
+    return found

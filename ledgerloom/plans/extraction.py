@@ -213,7 +213,7 @@ def header_hints(spark: SparkSession, folder: str) -> DataFrame:
         "CASE o_orderstatus WHEN 'F' THEN concat('900.', o_custkey, '-1;EMPRESA ', o_custkey, ';FV ', o_orderkey, ';x') "
         "WHEN 'O' THEN concat('777777777777;Otra Firma;fv', o_orderkey, ';x') ELSE 'sin datos' END AS email_subject",
     )
-    out = hints.apply_hints(records, similarity=hints.levenshtein_similarity)
+    out = hints.apply_hints(records)
     return out.drop("email_sender", "email_subject")
 
 
@@ -236,13 +236,6 @@ def fuzzy_override(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
-def fuzzy_override_ratio(spark: SparkSession, folder: str) -> DataFrame:
-    return hints.override_by_ratio(_found_and_hint(spark, folder), "found", "hint", "supplier_name").select(
-        "o_orderkey", "supplier_name"
-    )
-
-
 def _found_and_hint(spark: SparkSession, folder: str) -> DataFrame:
     orders, customer = spread(table(spark, folder, "orders")), table(spark, folder, "customer")
     hint = _FUZZY.format(c="c_name", r="replace(c_name, 'Customer', 'Kunde')", x="replace(c_name, '#0000', ' ')")

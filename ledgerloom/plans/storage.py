@@ -13,6 +13,7 @@ from ledgerloom.plans.registry import query
 from ledgerloom.plans.scalars import day
 from ledgerloom.session import spread
 from ledgerloom.sources.catalog import table
+from ledgerloom.sources.snapshots import empty
 
 #: Re-ingested documents: few paths, so each one is hot.
 INCOMING = [
@@ -203,6 +204,23 @@ def item_update(spark: SparkSession, folder: str) -> DataFrame:
     return corr.update_items(fx.stored_items(spark, folder), fx.item_changes(spark, folder))
 
 
+@query(f"""
+WITH i AS ({fx.ITEMS_SQL}), c AS ({fx.ITEM_CHANGES_SQL}),
+l AS (SELECT item_id, arg_max(corrected_value, id) FILTER (field = 'description') AS d,
+  arg_max(corrected_value, id) FILTER (field = 'quantity') AS q, arg_max(corrected_value, id) FILTER (field = 'unit_price') AS p,
+  arg_max(corrected_value, id) FILTER (field = 'line_total') AS t FROM c GROUP BY item_id)
+SELECT i.id, invoice_id, coalesce(d, description) AS description, coalesce(CAST(q AS DOUBLE), quantity) AS quantity,
+  coalesce(CAST(replace(p, ',', '.') AS DOUBLE), unit_price) AS unit_price, coalesce(CAST(replace(t, ',', '.') AS DOUBLE), line_total) AS line_total
+FROM i LEFT JOIN l ON i.id = l.item_id""")
+def item_field_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """Logged scalar changes of item fields, replayed by item id; payload rows are left to the overlay."""
+    log = fx.item_changes(spark, folder).selectExpr(
+        "id", "'item_field_correction' AS kind", "item_id AS original_item_id", "field", "corrected_value"
+    )
+    payloads = log.selectExpr("id + 1000000000 AS id", "kind", "original_item_id", "'description' AS field", "'{\"description\": \"x\"}' AS corrected_value")
+    return corr.replay_item_fields(fx.stored_items(spark, folder), log.unionByName(payloads))
+
+
 _REQUESTS = [
     "event_id + 1 AS request_id", "user_id AS invoice_id", "event_type AS description",
     "get_json_object(props, '$.k') AS quantity", "replace(cast(cast(value AS decimal(18,2)) AS string), '.', ',') AS unit_price",
@@ -256,6 +274,32 @@ def item_delete_audit(spark: SparkSession, folder: str) -> DataFrame:
     return corr.delete_items(fx.stored_items(spark, folder), doomed)[1]
 
 
+@query(f"""
+SELECT invoice_id, item_id AS original_item_id, 'update' AS kind, field, original_value, corrected_value, TIMESTAMP '2025-01-01' AS corrected_at FROM (WITH j AS (SELECT i.*, c.item_id, c.field, c.corrected_value FROM ({fx.ITEMS_SQL}) i JOIN ({fx.ITEM_CHANGES_SQL}) c ON i.id = c.item_id)
+SELECT invoice_id, item_id, field, CASE field WHEN 'description' THEN description WHEN 'quantity' THEN CAST(quantity AS VARCHAR)
+    WHEN 'unit_price' THEN CAST(unit_price AS VARCHAR) ELSE CAST(line_total AS VARCHAR) END AS original_value, corrected_value
+FROM j
+WHERE CASE field WHEN 'description' THEN description IS DISTINCT FROM corrected_value
+  WHEN 'quantity' THEN quantity IS DISTINCT FROM CAST(replace(CASE WHEN field <> 'description' THEN corrected_value END, ',', '.') AS DOUBLE)
+  WHEN 'unit_price' THEN unit_price IS DISTINCT FROM CAST(replace(CASE WHEN field <> 'description' THEN corrected_value END, ',', '.') AS DOUBLE)
+  ELSE line_total IS DISTINCT FROM CAST(replace(CASE WHEN field <> 'description' THEN corrected_value END, ',', '.') AS DOUBLE) END)
+UNION ALL SELECT invoice_id, original_item_id, kind, NULL, NULL, corrected_value, TIMESTAMP '2025-01-01' FROM (SELECT invoice_id, id AS original_item_id, 'add' AS kind, CAST(to_json({{'description': description, 'quantity': quantity,
+  'unit_price': unit_price, 'line_total': line_total}}) AS VARCHAR) AS corrected_value FROM ({_ADDED_SQL}))
+UNION ALL SELECT invoice_id, original_item_id, kind, NULL, original_value, NULL, TIMESTAMP '2025-01-01' FROM (SELECT invoice_id, id AS original_item_id, 'delete' AS kind, CAST(to_json({{'id': id, 'invoice_id': invoice_id, 'description': description,
+  'quantity': quantity, 'unit_price': unit_price, 'line_total': line_total}}) AS VARCHAR) AS original_value
+FROM ({fx.ITEMS_SQL}) WHERE id IN (SELECT user_id FROM events))""")
+def item_audit_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Audit rows of updated, added and deleted items, as rows of the item log (without their ids)."""
+    items, events = fx.stored_items(spark, folder), table(spark, folder, "events")
+    rows = corr.log_rows(
+        empty(spark, "item_corrections"), F.lit("2025-01-01").cast("timestamp_ntz"),
+        corr.change_audit(items, fx.item_changes(spark, folder)),
+        corr.add_items(items, events.selectExpr(*_REQUESTS))[1],
+        corr.delete_items(items, events.selectExpr("user_id AS item_id"))[1],
+    )
+    return rows.drop("id")
+
+
 @query(f"""
 WITH c AS ({fx.HEADER_CORRECTIONS_SQL})
 SELECT id, invoice_id, field, original_value, CASE WHEN o_orderstatus = 'F' THEN 'parche ' || o_custkey ELSE corrected_value END AS corrected_value,

@@ -25,8 +25,8 @@ RECOMMENDED = {
     ),
 }
 
-#: Inputs below this estimated size may be re-spread over all cores.
-SPREAD_LIMIT_BYTES = 1 << 30
+#: Setting with the number of partitions for ``spread``; without it rows stay where they are.
+SPREAD = "spark.ledgerloom.spread"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ledgerloom") -> SparkSession:
@@ -38,6 +38,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config(SPREAD, str(shuffle_partitions))
     )
     for key, value in RECOMMENDED.items():
         builder = builder.config(key, value)
@@ -66,13 +67,10 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before CPU-bound row work.
+    """Deal a table that lies in few files to more tasks before CPU-bound row work.
 
-    A small table often sits in one file with one row group and would be parsed
-    by a single task. Inputs above the limit already have many splits and are
-    returned as they are, so no large table is ever shuffled here.
+    The number of partitions is a setting of the session (``SPREAD``), whatever the
+    table's size; a cluster whose tables have many files leaves it unset.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > SPREAD_LIMIT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    partitions = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(partitions)) if partitions else df

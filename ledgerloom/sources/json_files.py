@@ -18,12 +18,17 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str, whole_
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """Write records as lines of JSON. Fails if the folder exists: what was learned is never overwritten."""
+    df.write.mode("errorifexists").json(path)
 
 
-def read_learned(spark: SparkSession, path: str) -> DataFrame:
-    """Learned pattern files; an unreadable file gives an empty set."""
-    return read_json(spark, path, LEARNED_SCHEMA, whole_file=True)
+def read_learned(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
+    """Learned pattern files; an unreadable record gives an empty set.
+
+    Written files have a record in each line; ``whole_file`` reads files written by
+    hand, with one record over many lines.
+    """
+    return read_json(spark, path, LEARNED_SCHEMA, whole_file)
 
 
 def parse_learned(json: Column) -> Column:

@@ -6,9 +6,9 @@ from ledgerloom.functions import amounts, dates, text
 
 
 @pytest.mark.parametrize("shown, value", [
-    ("$1234.56", 1234.56), ("1.234,50", 1234.5), ("1,234.56", 1234.56), ("1.234.567", 1234567.0),
-    ("1.234.567,8", 1234567.8), ("1.234.56", 1234.56), ("12,5", 12.5), ("1,234,567", None), ("EUR 7", 7.0),
-    ("1.234", 1.234), ("not_a_number", None), ("", None), (None, None), ("nan", None), ("12d", None), ("5.", 5.0),
+    ("$870.25", 870.25), ("7.081,75", 7081.75), ("1,234.56", 1234.56), ("1.234.567", 1234567.0),
+    ("1.234.567,8", 1234567.8), ("1.234.56", 1234.56), ("1." + "0" * 50 + ".000", 1e53), ("12,5", 12.5), ("1,234,567", None), ("EUR 7", 7.0),
+    ("1.234", 1.234), ("doce", None), ("", None), (None, None), ("nan", None), ("12d", None), ("5.", 5.0),
     ("1,234.567.890", None), ("  € 3,10\t", 3.1),
 ])
 def test_amount_auto(one, shown, value):

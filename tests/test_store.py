@@ -115,15 +115,15 @@ def test_learning(spark, tmp_path):
     assert ordered == ["Acme Ltda", "Yeso", "{mal}"]
     path = str(tmp_path / "learned")
     json_files.write_json(json_files.learned_records(patterns, terms), path)
-    again = json_files.explode_learned(json_files.read_json(spark, path, json_files.LEARNED_SCHEMA), [])
+    again = json_files.explode_learned(json_files.read_learned(spark, path), [])
     assert {(r.kind, r.value) for r in again.collect()} == {("regex", "(?iu)(\\QG\\E)"), ("term", "Acme Ltda"), ("term", "Yeso"), ("term", "{mal}")}
 
 
 def test_learned_file(spark, tmp_path):
-    (tmp_path / "a.json").write_text('{\n "regex_patterns": {"invoice_number": "x"},\n "nlp_terms": ["YESO ECOYESO BULTO", "LLANA LUKIN"]\n}')
+    (tmp_path / "a.json").write_text('{\n "regex_patterns": {"invoice_number": "x"},\n "nlp_terms": ["TORNILLO NUEVE MM", "CINTA AZUL"]\n}')
     (tmp_path / "b.json").write_text("{ not json")
-    rows = json_files.explode_learned(json_files.read_learned(spark, str(tmp_path)), []).collect()
-    assert sorted((r.kind, r.value) for r in rows) == [("regex", "x"), ("term", "LLANA LUKIN"), ("term", "YESO ECOYESO BULTO")]
+    rows = json_files.explode_learned(json_files.read_learned(spark, str(tmp_path), whole_file=True), []).collect()
+    assert sorted((r.kind, r.value) for r in rows) == [("regex", "x"), ("term", "CINTA AZUL"), ("term", "TORNILLO NUEVE MM")]
 
 
 def test_snapshots(spark, tmp_path):
@@ -141,3 +141,10 @@ def test_inbox(spark, tmp_path):
         (tmp_path / name).write_text("x")
     df = files.scan_inbox(spark, str(tmp_path))
     assert {r.path.rsplit("/", 1)[1] for r in df.collect()} == {"a.pdf", "B.ZIP"}
+
+
+def test_patches_of_one_correction(spark):
+    log = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id BIGINT, corrected_value STRING, corrected_at INT")
+    patches = spark.createDataFrame([(1, "late", 9), (1, "early", 5), (1, "late", 9)], "id BIGINT, corrected_value STRING, patched_at INT")
+    got = corr.patch_log(log, log.where("false"), patches, log.where("false").select("id"))
+    assert sorted(map(tuple, got.select("id", "corrected_value", "corrected_at").collect())) == [(1, "late", 9), (2, "b", 1)]
