@@ -72,15 +72,23 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def before(sizes: Column, chunk: int = 64) -> Column:
-    """Sum of all sizes before each place. Sums over chunks first, so that many places cost little."""
-    n = F.size(sizes)
+def _with_before(rows: DataFrame, keep: list[str], sizes: Column, chunk: int = 64) -> DataFrame:
+    """Add ``_before``: the sum of all sizes before each place.
+
+    Sums over chunks first, so that many places cost little. Each step is a column of
+    its own, as a lambda would compute it again for every place.
+    """
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    starts = F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))
-    sums = F.transform(starts, lambda k: total(F.slice(sizes, k * chunk + 1, F.lit(chunk))))
-    heads = F.transform(starts, lambda k: total(F.slice(sums, F.lit(1), k)))
-    at = lambda i: F.get(heads, F.floor(i / chunk).cast("int")) + total(F.slice(sizes, i - i % chunk + 1, i % chunk))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    rows = select_once(rows, keep, [sizes.alias("_sizes")])
+    n = F.size("_sizes")
+    chunks = F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))
+    sums = F.transform(chunks, lambda k: total(F.slice("_sizes", k * chunk + 1, F.lit(chunk))))
+    rows = select_once(rows, [*keep, "_sizes"], [F.when(n > 0, sums).otherwise(none).alias("_sums")])
+    heads = F.transform("_sums", lambda _, k: total(F.slice("_sums", F.lit(1), k)))
+    rows = select_once(rows, [*keep, "_sizes"], [heads.alias("_heads")])
+    at = lambda _, i: F.get("_heads", F.floor(i / chunk).cast("int")) + total(F.slice("_sizes", i - i % chunk + 1, i % chunk))
+    return select_once(rows, keep, [F.transform("_sizes", at).alias("_before")])
 
 
 def _pattern(left: Column) -> Column:
@@ -100,7 +108,7 @@ def _spans(rows: DataFrame, keep: list[str], text: str, kind: str, rank: int, sh
     left = F.when(F.size("_hits") > 0, F.split(F.col(text), shape, -1)).otherwise(none)
     rows = select_once(rows, [*keep, "_hits"], [left.alias("_left")])
     pairs = F.zip_with(F.slice("_left", 1, F.size("_hits")), "_hits", lambda a, b: F.length(a) + F.length(b))
-    rows = select_once(rows, [*keep, "_hits", "_left"], [before(pairs).alias("_before")])
+    rows = _with_before(rows, [*keep, "_hits", "_left"], pairs)
 
     def span(found: Column, i: Column) -> Column:
         gap = F.get("_left", i)
