@@ -277,7 +277,7 @@ def predict(model: Model, texts: pa.Array) -> pa.Array:
     n = len(model.languages)
     total, count = np.zeros((len(texts), n)), np.zeros(len(texts))
     plain = np.zeros(len(texts), dtype=bool)  # has an ASCII letter
-    for data, cuts, first in pieces(texts):
+    for data, cuts, first in pieces(texts) if n else ():
         starts, stops, row, marginal = label_words(model, data, cuts)
         if len(row):
             rows = len(cuts) - 1
