@@ -262,6 +262,16 @@ def term_dictionary_match(spark: SparkSession, folder: str) -> DataFrame:
     return terms.match_terms(spread(table(spark, folder, "documents")), ["doc_id"], pairs)
 
 
+@query("""
+SELECT o_orderkey, replace(o_orderpriority, '-', s) AS term, 2 AS pos, CASE WHEN o_orderpriority LIKE '4%' THEN 4 ELSE 3 END AS n_tokens
+FROM orders, (VALUES ('-'), (' - '), ('- ')) AS v(s)""")
+def term_dictionary_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    """Dictionary terms that differ in blanks only are all found."""
+    orders = table(spark, folder, "orders")
+    words = orders.select(F.explode(F.array(*[F.replace("o_orderpriority", F.lit("-"), F.lit(x)) for x in ("-", " - ", "- ")])).alias("term"))
+    return terms.match_terms(spread(orders).selectExpr("o_orderkey", "concat('clase ', o_orderpriority, ' .') AS text"), ["o_orderkey"], words)
+
+
 @query("""
 SELECT p_partkey, CASE WHEN p_size < 25 THEN p_name ELSE p_type || ' ' || p_brand END AS supplier_name,
   CASE WHEN p_size < 25 THEN p_type || ' ' || p_brand ELSE p_name END AS customer_name,

@@ -9,7 +9,8 @@ from ledgerloom.operators import features, learning as learn_ops, models, qualit
 from ledgerloom.operators.corrections import upsert_corrections
 from ledgerloom.plans import fixtures as fx
 from ledgerloom.plans.registry import query
-from ledgerloom.session import spread
+from ledgerloom.session import spread, work_dir
+from ledgerloom.sources import json_files
 from ledgerloom.sources.catalog import table
 
 
@@ -78,6 +79,17 @@ def learn_patterns(spark: SparkSession, folder: str) -> DataFrame:
     return learned_rows(patterns, terms, learn_ops.frequent_values(corrections))
 
 
+@query(f"""
+SELECT CASE kind WHEN 'pattern' THEN 'regex' ELSE kind END AS kind, CASE WHEN kind = 'pattern' THEN name END AS name, value
+FROM ({LEARN_SQL})""")
+def patterns_file_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Learned patterns and terms, written as JSON files to a new folder and read from there."""
+    patterns, terms = learn_ops.learn(upsert_corrections(fx.header_corrections(spark, folder)), item_corrections(spark, folder))
+    path = work_dir(spark, "learned")
+    json_files.write_json(json_files.learned_records(patterns, terms), path)
+    return json_files.explode_learned(json_files.read_learned(spark, path), [])
+
+
 @query(r"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]{2,}')) AS token FROM documents),
 tf AS (SELECT doc_id, token, count(*) AS tf FROM w GROUP BY ALL),
