@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import staged, table
 from ledgerloom.llm.registry import query
 
 Q = 8
@@ -29,8 +29,9 @@ PIECE = 96
 STEP = 48
 #: Edits allowed in a piece: this share of its length.
 EDITS = 0.08
-#: Most bytes of benchmark text held by a task at once; more items are taken in turns.
-SLICE = 16 << 20
+#: Most bytes of benchmark text held by a task at once (its index takes some 60 times as
+#: much); more items are taken in turns, between which the documents are staged.
+SLICE = 1 << 20
 #: Bytes of document text worked on at once.
 CHUNK = 1 << 20
 
@@ -220,13 +221,14 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with ``leaks`` added (replacing such a column): the ids of the items in each text, ascending.
 
     Null and empty texts leak nothing. Items without id or of fewer than q bytes are
-    not looked for; repeated items count once. No row is moved: the benchmark's index
+    not looked for; repeated items count once. No row is shuffled: the benchmark's index
     goes to the documents, a bounded part of it at a time.
     """
     keep = [f"`{c}`" for c in docs.columns if c.lower() != "leaks"]
     found = docs.select(*keep, F.array().cast("array<bigint>").alias("leaks"))
     for turn, items in enumerate(slices(benchmark)):
         new = leaked_items(F.col("text"), items)
+        found = staged(found, "leaks") if turn else found
         found = found.select(*keep, new.alias("leaks") if not turn else F.array_sort(F.array_union("leaks", new)).alias("leaks"))
     return found
 
