@@ -4,8 +4,8 @@ Texts with equal sets of word shingles are one class. Sketches of the classes ar
 cut into bands; classes that share a band meet. In each such bucket every member is
 first compared with the smallest one; what is still apart is compared in blocks
 after the links found so far have been contracted, so members of one component
-are never paired again. Pairs are kept on their likely similarity and confirmed on
-the full sets.
+are never paired again, and only links leave a block. Pairs are kept on their
+likely similarity and confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -28,10 +28,7 @@ SIMILAR = 75
 #: Pairs less likely similar than this are not confirmed: nearly six standard errors below the bound.
 LIKELY = 0.55
 #: Most members of a block, on average.
-BLOCK = 512
-#: Rounds in which a block proposes only pairs that would join components; the next proposes all.
-FOREST_ROUNDS = 2
-
+BLOCK = 256
 _FINGERPRINT = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
 
 
@@ -80,73 +77,72 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["id", "elements"])
 
 
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether 100 * intersection >= SIMILAR * union of two sorted sets."""
+    if 100 * min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+        return False
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= SIMILAR * (len(both) - common)
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with their sets, those with 100 * intersection >= SIMILAR * union."""
+    """Of pairs with their sets, those that are linked."""
     for batch in batches:
-        kept = []
-        for x, y in zip(batch.column("a_set"), batch.column("b_set"), strict=True):
-            a, b = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-            both = np.concatenate((a, b))
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            kept.append(100 * common >= SIMILAR * (len(both) - common))
+        pairs = zip(batch.column("a_set"), batch.column("b_set"), strict=True)
+        kept = [_linked(*(np.frombuffer(z.as_buffer(), np.uint64) for z in pair)) for pair in pairs]
         fine = batch.filter(pa.array(kept, pa.bool_()))
         yield pa.RecordBatch.from_arrays([fine.column("a"), fine.column("b")], names=["a", "b"])
 
 
-def _apart(forest: bool):
-    """Of two blocks of one bucket, likely pairs from different components that meet in no earlier band.
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two blocks of one bucket, links that join components.
 
-    With ``forest``, of these only the likeliest that join components.
+    Likely pairs from different components that meet in no earlier band are checked
+    on their sets, the likeliest first; a pair whose components have been joined on
+    the way is passed over.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (row,) = batch.slice(i, 1).to_pylist()
-                left, right = row["x"], row["y"]
-                ids_l, ids_r = (np.array([m["id"] for m in s]) for s in (left, right))
-                comp_l, comp_r = (np.array([m["component"] for m in s]) for s in (left, right))
-                n_l, n_r = (np.array([m["n"] for m in s], dtype=float) for s in (left, right))
-                sk_l, sk_r = (_sketches([m["sketch"] for m in s]) for s in (left, right))
-                band = row["band"]
-                sums: list[tuple[int, int, float]] = []
-                for at in range(len(ids_l)):
-                    other = np.flatnonzero((comp_r != comp_l[at]) & ((ids_r > ids_l[at]) if row["same"] else True))
-                    if not len(other):
-                        continue
-                    theirs = sk_r[other]
-                    equal = theirs == sk_l[at]
+    for batch in batches:
+        for i in range(batch.num_rows):
+            (row,) = batch.slice(i, 1).to_pylist()
+            left, right = row["x"], row["y"]
+            (ids_l, comp_l, n_l, sk_l), (ids_r, comp_r, n_r, sk_r) = (
+                (np.array([m["id"] for m in s]), np.array([m["component"] for m in s]), np.array([m["n"] for m in s], dtype=float), _sketches([m["sketch"] for m in s]))
+                for s in (left, right)
+            )
+            band = row["band"]
+            found = []
+            for at in range(len(ids_l)):
+                other = np.flatnonzero((comp_r != comp_l[at]) & ((ids_r > ids_l[at]) if row["same"] else True))
+                if len(other):
+                    equal = sk_r[other] == sk_l[at]
                     earlier = equal[:, : 4 * band].reshape(len(other), band, 4).all(axis=2).any(axis=1)
-                    near = ~earlier & (equal.sum(axis=1) >= 0.4 * sk.REGISTERS)
-                    other, theirs = other[near], theirs[near]
-                    if len(other):
-                        j = sk.similarity((sk_l[at] > theirs).sum(axis=1), (sk_l[at] < theirs).sum(axis=1), np.full(len(other), n_l[at]), n_r[other])
-                        sums += [(at, o, x) for o, x in zip(other.tolist(), j.tolist(), strict=True) if x >= LIKELY]
-                if forest:
-                    sums = _joining(sums, comp_l, comp_r)
-                a = [int(min(ids_l[x], ids_r[y])) for x, y, _ in sums]
-                b = [int(max(ids_l[x], ids_r[y])) for x, y, _ in sums]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return run
+                    other = other[~earlier & (equal.sum(axis=1) >= 0.4 * sk.REGISTERS)]
+                    found.append(np.stack((np.full(len(other), at), other)))
+            x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+            j = sk.similarity((sk_l[x] > sk_r[y]).sum(axis=1), (sk_l[x] < sk_r[y]).sum(axis=1), n_l[x], n_r[y])
+            order = np.argsort(-j, kind="stable")[: int((j >= LIKELY).sum())]
+            links = _joining(x[order], y[order], comp_l, comp_r, [m["elements"] for m in left], [m["elements"] for m in right])
+            ends = np.array([(ids_l[u], ids_r[v]) for u, v in links], dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], names=["a", "b"])
 
 
-def _joining(pairs: list[tuple[int, int, float]], comp_l: np.ndarray, comp_r: np.ndarray) -> list[tuple[int, int, float]]:
+def _joining(x: np.ndarray, y: np.ndarray, comp_l: np.ndarray, comp_r: np.ndarray, left: list[bytes], right: list[bytes]) -> list[tuple[int, int]]:
     root: dict[int, int] = {}
 
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root.setdefault(root[x], root[x])
-            x = root[x]
-        return x
+    def find(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = root.setdefault(root[c], root[c])
+            c = root[c]
+        return c
 
     kept = []
-    for x, y, j in sorted(pairs, key=lambda p: -p[2]):
-        a, b = find(int(comp_l[x])), find(int(comp_r[y]))
-        if a != b:
+    for u, v in zip(x.tolist(), y.tolist(), strict=True):
+        a, b = find(int(comp_l[u])), find(int(comp_r[v]))
+        if a != b and _linked(np.frombuffer(left[u], np.uint64), np.frombuffer(right[v], np.uint64)):
             root[a] = b
-            kept.append((x, y, j))
+            kept.append((u, v))
     return kept
 
 
@@ -196,25 +192,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _confirm(likely, sets)
     joined = components(links)
 
-    # Pairs of members other than the smallest, while they are in different components.
-    crowded = staged(buckets.where("size > 2").join(held, "id"), "crowded")
-    for turn in range(FOREST_ROUNDS + 1):
-        now = crowded.join(joined, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
-        open_keys = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).cast("int")
-        parts = now.join(open_keys, "key", "left_semi").groupBy("key", "band", chunk.alias("chunk")).agg(
-            F.collect_list(F.struct("id", "component", "n", "sketch")).alias("block")  # BLOCK members on average
-        )
-        parts = staged(parts, "blocks")
-        x = parts.select("key", "band", F.col("chunk").alias("cx"), F.col("block").alias("x"))
-        y = parts.select("key", F.col("chunk").alias("cy"), F.col("block").alias("y"))
-        met_blocks = x.join(y, "key").where("cx <= cy").select("band", (F.col("cx") == F.col("cy")).alias("same"), "x", "y")
-        forest = turn < FOREST_ROUNDS
-        found = staged(met_blocks.mapInArrow(_apart(forest), "a long, b long").distinct(), "apart")
-        if found.isEmpty():
-            break
-        links = staged(links.union(_confirm(found, sets)), "links")
-        joined = components(links)
+    # Pairs of members other than the smallest, where they are in different components.
+    crowded = buckets.where("size > 2").join(joined, F.col("id") == F.col("node"), "left")
+    crowded = staged(crowded.select("key", "band", "size", "id", F.coalesce("component", "id").alias("component")), "crowded")
+    open_keys = crowded.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).cast("int")
+    parts = crowded.join(open_keys, "key", "left_semi").join(held, "id").join(sets, "id").groupBy("key", "band", chunk.alias("chunk")).agg(
+        F.collect_list(F.struct("id", "component", "n", "sketch", "elements")).alias("block")  # BLOCK members on average
+    )
+    parts = staged(parts, "blocks")
+    x = parts.select("key", "band", F.col("chunk").alias("cx"), F.col("block").alias("x"))
+    y = parts.select("key", F.col("chunk").alias("cy"), F.col("block").alias("y"))
+    met_blocks = x.join(y, "key").where("cx <= cy").select("band", (F.col("cx") == F.col("cy")).alias("same"), "x", "y")
+    more = staged(met_blocks.mapInArrow(_apart, "a long, b long"), "more-links")
+    if not more.isEmpty():
+        joined = components(links.union(more))
 
     last = members.join(joined, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep").alias("component_id")
