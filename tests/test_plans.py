@@ -35,15 +35,21 @@ def test_xml_is_parsed_twice_at_most(spark, small):
     assert "Filter" not in text.split("SortAggregate")[-1].split("\n")[0]
 
 
-@pytest.mark.parametrize("name", ["table_items", "item_overlay", "item_dedup", "combine_fields", "correction_upsert"])
+@pytest.mark.parametrize("name", ["item_overlay", "item_dedup", "combine_fields", "correction_upsert"])
 def test_one_shuffle_by_key(spark, small, name):
     text = plan(QUERIES[name](spark, small)).split("\n\n\n")[0]
     assert text.count("Aggregate (") == 2  # partial and final
     assert "Join" not in text
 
 
+def test_tables_are_laid_out_once(spark, small):
+    """The layout of a table is aggregated from numbers by hash and joined; the rows follow in the same partitioning."""
+    text = plan(QUERIES["table_items"](spark, small)).split("\n\n\n")[0]
+    assert text.count("HashAggregate (") == 2 and text.count("Join") == 1
+
+
 def test_no_cross_join_anywhere(spark, small):
-    skip = {"stream_upsert", "stream_dedup", "stream_learn", "ml_train_predict", "predict_fill", "classify_docs"}
+    skip = {"stream_upsert", "stream_dedup", "stream_dedup_watermark", "stream_learn", "ml_train_predict", "predict_fill", "classify_docs"}
     for name, query in QUERIES.items():
         if name not in skip:
             text = plan(query(spark, small))

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from ledgerloom.plans import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
 
@@ -11,14 +12,14 @@ def con(small):
     return connect(small)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, con, small, name):
-    assert compare(entry.queries()[name](spark, small), con, entry.oracle_sql()[name]) == []
+    assert compare(QUERIES[name](spark, small), con, ORACLES[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, small, name):
-    assert entry.queries()[name](spark, small).count() > 0
+    assert QUERIES[name](spark, small).count() > 0
 
 
 def test_entry(spark, small):
