@@ -3,14 +3,17 @@
 Markup is stripped to one line for each block element; lines of menus, adverts and
 other furniture become empty lines. Lengths are summed over sliding windows of lines:
 a region begins where the sum surges and ends where it dives. Lines of an article
-element surge at any length, other lines only where unlinked text is dense. The
-region with most text is kept, with all its lines.
+element surge at any length, other lines only where unlinked text is dense. In a page
+without article or main element all lines from the first dense region to the last are
+kept, and the other lines of the smallest container around them, except link-only ones
+of menus beside the text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +46,8 @@ MARKS = frozenset(
 )
 #: First parts of compound class names that only say what a container has.
 ABOUT = frozenset("has with no without is".split())
+#: Elements that hold blocks. One with a single line is a paragraph.
+CONTAINERS = frozenset("html body main article section div center td".split())
 #: Elements whose class says what surrounds the text, never that they are furniture.
 ROOTS = frozenset("html body main".split())
 
@@ -62,53 +67,72 @@ def _is_marked(attributes: str) -> bool:
     return False
 
 
+def _spaced(pieces: list[str]) -> str:
+    return " ".join(html.unescape("".join(pieces)).split())
+
+
 class _Lines:
-    """One line for each block with text: text, unlinked length, number of the article it is in (0: none)."""
+    """One line for each block with text: text, unlinked length, number of the article (0: none) and of the container it is in."""
 
     def __init__(self) -> None:
         self.text: list[str] = []
         self.plain: list[int] = []
         self.article: list[int] = []
+        self.container: list[int] = []
+        self.boxes: list[list[int]] = [[0, -1, -1, 1]]  # of each container: first line, end, parent, whether a root
         self._pieces: list[str] = []
-        self._linked = 0
+        self._plain: list[str] = []
 
     def add(self, piece: str, linked: bool) -> None:
         self._pieces.append(piece)
-        if linked:
-            self._linked += len(piece)
+        if not linked:
+            self._plain.append(piece)
 
-    def end(self, article: int) -> None:
-        text = " ".join(html.unescape("".join(self._pieces)).split())
+    def end(self, article: int, container: int) -> None:
+        text = _spaced(self._pieces)
         if text:
             self.text.append(text)
-            self.plain.append(max(0, len(text) - self._linked))
+            self.plain.append(len(text) if len(self._plain) == len(self._pieces) else len(_spaced(self._plain)))
             self.article.append(article)
-        self._pieces, self._linked = [], 0
+            self.container.append(container)
+        self._pieces, self._plain = [], []
 
-    def gap(self) -> None:
+    def gap(self, container: int) -> None:
         """One empty line where furniture was left out."""
         self.text.append("")
         self.plain.append(0)
         self.article.append(0)
+        self.container.append(container)
+
+    def open_box(self, name: str, parent: int) -> int:
+        self.boxes.append([len(self.text), -1, parent, name in ("html", "body")])
+        return len(self.boxes) - 1
+
+    def close_boxes(self) -> None:
+        """Containers that were not closed end with the page."""
+        for box in self.boxes:
+            box[1] = len(self.text) if box[1] < 0 else box[1]
 
 
 def lines_of(page: str) -> _Lines:
     """The lines of a page that have text, and an empty one for each piece of furniture."""
     page = _DROPPED.sub("", page)
     lines = _Lines()
-    stack: list[tuple[str, int, int]] = []  # name, depth of furniture, article
+    stack: list[tuple[str, int, int, int]] = []  # name, and depth of furniture, article and container around it
     opened: dict[str, int] = {}
-    skip = article = articles = links = 0
+    skip = article = articles = links = box = 0
     has_article = re.search(r"<article\b", page, re.I) is not None
     at = 0
 
     def close(name: str) -> None:
-        nonlocal skip, article, links
+        nonlocal skip, article, links, box
         while opened.get(name):
-            top, skip_before, article_before = stack.pop()
+            top, skip_before, article_before, box_before = stack.pop()
             opened[top] -= 1
             links -= top == "a"
-            skip, article = skip_before, article_before
+            if box != box_before:
+                lines.boxes[box][1] = len(lines.text)
+            skip, article, box = skip_before, article_before, box_before
             if top == name:
                 break
 
@@ -120,7 +144,7 @@ def lines_of(page: str) -> _Lines:
         if not name:
             continue
         if name in BLOCKS:
-            lines.end(article)
+            lines.end(article, box)
         elif name in ("br", "td", "th", "option"):
             lines.add(" ", False)
         if m[1]:
@@ -130,14 +154,16 @@ def lines_of(page: str) -> _Lines:
             continue
         if name in BLOCKS:
             close("p")
-        stack.append((name, skip, article))
+        stack.append((name, skip, article, box))
         opened[name] = opened.get(name, 0) + 1
         links += name == "a"
         inside = article > 0
+        if name in CONTAINERS and not skip:
+            box = lines.open_box(name, box)
         if name in FURNITURE or name not in ROOTS and _is_marked(m[3] or ""):
             if not skip:
-                lines.end(article)
-                lines.gap()
+                lines.end(article, box)
+                lines.gap(box)
             skip += 1
         elif name == "header":
             skip += 1
@@ -148,7 +174,8 @@ def lines_of(page: str) -> _Lines:
             article = articles
     if at < len(page) and not skip:
         lines.add(page[at:], links > 0)
-    lines.end(article)
+    lines.end(article, box)
+    lines.close_boxes()
     return lines
 
 
@@ -169,12 +196,38 @@ def regions(lengths: list[int], surge: int, window: int = WINDOW) -> list[tuple[
     return found
 
 
+def _dense_lines(lines: _Lines) -> list[int]:
+    """The lines to keep of a page without article: from the first dense region to the last, and what is beside them."""
+    spans = regions(lines.plain, SURGE)
+    if not spans:
+        return list(range(len(lines.text)))
+    first, last = spans[0][0], spans[-1][1]
+    texts = [0, *accumulate(bool(t) for t in lines.text)]
+
+    def around(line: int, end: int) -> int:
+        """The smallest container with the lines up to ``end`` that is not the paragraph of a single line."""
+        box = lines.container[line]
+        while box and (lines.boxes[box][1] < end or texts[lines.boxes[box][1]] - texts[lines.boxes[box][0]] <= 1):
+            box = lines.boxes[box][2]
+        return box
+
+    dense = {around(i, i + 1) for i in range(first, last) if lines.plain[i]}
+    start, stop, _, _ = lines.boxes[around(first, last)]
+
+    def kept(i: int) -> bool:
+        if first <= i < last or lines.plain[i]:
+            return True
+        box = around(i, i + 1)
+        return box in dense and not lines.boxes[box][3]
+
+    return [i for i in range(start, stop) if kept(i)]
+
+
 def main_text(page: str | None) -> str:
     """The main text, blocks joined by an empty line; empty for null, empty and textless pages."""
     if not page:
         return ""
     lines = lines_of(page)
-    best: tuple[int, int, int] | None = None
     inside = [len(t) if a else 0 for t, a in zip(lines.text, lines.article, strict=True)]
     if any(inside):
         sums: dict[int, int] = {}
@@ -184,17 +237,10 @@ def main_text(page: str | None) -> str:
         own = [n if a == chosen else 0 for a, n in zip(lines.article, inside, strict=True)]
         spans = regions(own, 1)
         # furniture between an article's lines parts them into regions of one text
-        best = (spans[0][0], spans[-1][1], chosen)
+        kept = [i for i in range(spans[0][0], spans[-1][1]) if lines.article[i] == chosen]
     else:
-        spans = regions(lines.plain, SURGE) or regions([len(t) for t in lines.text], 1)
-        if spans:
-            first, last = max(spans, key=lambda s: (sum(lines.plain[s[0] : s[1]]), -s[0]))
-            best = (first, last, 0)
-    if best is None:
-        return ""
-    first, last, chosen = best
-    kept = (t for t, a in zip(lines.text[first:last], lines.article[first:last], strict=True) if t and a == chosen)
-    return "\n\n".join(kept)
+        kept = _dense_lines(lines)
+    return "\n\n".join(lines.text[i] for i in kept if lines.text[i])
 
 
 @F.pandas_udf(T.StringType())

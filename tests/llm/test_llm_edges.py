@@ -101,6 +101,25 @@ def test_html_without_article():
     assert text.startswith("long text") and "3" in text and "number 5" not in text
 
 
+def test_html_plain_divs_are_not_cut():
+    paragraphs = [f"paragraph {i} " + "with many words " * 8 for i in range(6)]
+    p = [f"<p>{x}</p>" for x in paragraphs]
+    links = "<ul>" + "".join(f"<li><a href=x{i}>a linked source {i}</a></li>" for i in range(5)) + "</ul>"
+    furniture = "<div class=advert>buy</div><div class='related'>more</div><div id=newsletter>mail us</div>"
+    opening = "<div>Title</div><p>By Jo</p><p>In short</p><p>And so</p><p>It goes</p>"
+    body = opening + p[0] + links + p[1] + p[2] + furniture + "".join(p[3:]) + links
+    linked = [f"a linked source {i}" for i in range(5)]
+    first = ["Title", "By Jo", "In short", "And so", "It goes", paragraphs[0].strip(), *linked]
+    want = first + [x.strip() for x in paragraphs[1:]] + linked
+    menu = "<ul>" + "".join(f"<li><a href=x>page {i}</a></li>" for i in range(9)) + "</ul>"
+    assert html_text.main_text(f"<body>{menu}<div>{body}</div>{menu}</body>").split("\n\n") == want
+    parted = f"<body>{menu}<div><div>{opening}{p[0]}{links}</div>{furniture}<div>" + "".join(p[1:]) + f"{links}</div></div>{menu}</body>"
+    assert html_text.main_text(parted).split("\n\n") == want
+    divs = f"<body>{menu}<div><div>Title</div>{furniture}<div>{paragraphs[0]}</div>{furniture}<div>{paragraphs[1]}</div></div>{menu}"
+    assert html_text.main_text(divs).split("\n\n") == ["Title", paragraphs[0].strip(), paragraphs[1].strip()]
+    assert html_text.main_text(f"<p>one</p>{furniture}<p>two</p>") == "one\n\ntwo"
+
+
 def test_html_long_and_frame(spark):
     page = "<article>" + "<p>some words here</p>" * 20_000 + "</article>" + "<b>" * 20_000
     assert html_text.main_text(page).count("\n\n") == 19_999
