@@ -46,10 +46,20 @@ MARKS = frozenset(
 )
 #: First parts of compound class names that only say what a container has.
 ABOUT = frozenset("has with no without is".split())
+#: Other parts of compound class names that end in a mark and are furniture (site-footer, main-nav, post-comments).
+QUALIFIERS = frozenset(
+    "site page main primary secondary top bottom left right upper lower header footer side global local post posts entry "
+    "article blog user users email mobile desktop sticky fixed floating inline google dfp gpt text display wp block js the "
+    "sub mega skip social share cookie newsletter ad nav menu comment".split()
+)
+#: Marks of comment sections, which may hold more text than the page's article, and articles of their own.
+COMMENTS = frozenset("comment comments commentlist respond disqus discussion reply replies".split())
 #: Elements that hold blocks. One with a single line is a paragraph.
 CONTAINERS = frozenset("html body main article section div center td".split())
 #: Elements whose class says what surrounds the text, never that they are furniture.
 ROOTS = frozenset("html body main".split())
+#: Elements whose text does not count as text of the page.
+UNCOUNTED = FURNITURE - {"form"} | {"header"}
 
 _DROPPED = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+>", re.S | re.I
@@ -58,13 +68,85 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*
 _MARKED = re.compile(r"(?:^|[\s/])(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 
 
-def _is_marked(attributes: str) -> bool:
+def _mark(attributes: str) -> str:
+    """The mark in the class, id or role names of an element, or an empty text; marks of comments go first."""
+    found = ""
     for m in _MARKED.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
             parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
-            if parts and parts[0] not in ABOUT and (parts[0] in MARKS or parts[-1] in MARKS):
-                return True
-    return False
+            if not parts or parts[0] in ABOUT:
+                continue
+            mark = parts[0] if parts[0] in MARKS else parts[-1]
+            if mark in MARKS and (mark == parts[0] or all(x in QUALIFIERS or x.isdigit() for x in parts[:-1])):
+                found = mark if not found or mark in COMMENTS else found
+    return found
+
+
+def _furniture(page: str) -> set[int]:
+    """Where the elements begin that are furniture by their names of class, id and role, and forms.
+
+    Not dropped are articles outside of articles, and what holds the main element, most of the
+    unlinked text outside of comments, or the page's only articles and all but a few characters.
+    """
+    stack: list[tuple[str, int, bool]] = []  # name, its number in marked or -1, whether text in it does not count
+    opened: dict[str, int] = {}
+    marked: list[list] = []  # place, mark, then text, articles, mains and all articles before it and up to its end
+    counts = [0, 0, 0, 0]
+    at = links = 0
+
+    def close(name: str) -> None:
+        nonlocal links
+        while opened.get(name):
+            top, number, _ = stack.pop()
+            opened[top] -= 1
+            links -= top == "a"
+            if number >= 0:
+                marked[number] += counts
+            if top == name:
+                break
+
+    for m in _TAG.finditer(page):
+        void = bool(stack) and stack[-1][2]
+        if m.start() > at and not links:
+            counts[0] += 0 if void else len(page[at : m.start()].strip())
+        at = m.end()
+        name = (m[2] or "").lower()
+        if not name or name in VOID:
+            continue
+        if m[1]:
+            close(name)
+            continue
+        if name in BLOCKS:
+            close("p")
+        inside = opened.get("article", 0) > 0
+        mark = "" if name in ROOTS else _mark(m[3] or "")
+        counts[3] += name == "article" and not inside and mark not in COMMENTS
+        mark = "" if name == "article" and not inside else mark
+        number = -1
+        if mark or name == "form":
+            number = len(marked)
+            marked.append([m.start(), mark, *counts])
+        in_comments = mark in COMMENTS and name != "article"
+        counts[1] += name == "article" and not inside and not (void or in_comments)
+        counts[2] += name == "main"
+        stack.append((name, number, void or in_comments or name in UNCOUNTED))
+        opened[name] = opened.get(name, 0) + 1
+        links += name == "a"
+    if not links and not (stack and stack[-1][2]):
+        counts[0] += len(page[at:].strip())
+    while stack:
+        close(stack[-1][0])
+    dropped = set()
+    for place, mark, *c in marked:
+        text, articles, mains, every = (c[k + 4] - c[k] for k in range(4))
+        rest = counts[0] - text
+        if mark in COMMENTS:
+            kept = mains or not rest or every and not counts[1] and rest < SURGE
+        else:
+            kept = mains or text > rest or articles == counts[1] > 0 and rest < SURGE
+        if not kept:
+            dropped.add(place)
+    return dropped
 
 
 def _spaced(pieces: list[str]) -> str:
@@ -118,6 +200,7 @@ def lines_of(page: str) -> _Lines:
     """The lines of a page that have text, and an empty one for each piece of furniture."""
     page = _DROPPED.sub("", page)
     lines = _Lines()
+    dropped = _furniture(page)
     stack: list[tuple[str, int, int, int]] = []  # name, and depth of furniture, article and container around it
     opened: dict[str, int] = {}
     skip = article = articles = links = box = 0
@@ -160,7 +243,7 @@ def lines_of(page: str) -> _Lines:
         inside = article > 0
         if name in CONTAINERS and not skip:
             box = lines.open_box(name, box)
-        if name in FURNITURE or name not in ROOTS and _is_marked(m[3] or ""):
+        if name in FURNITURE and name != "form" or m.start() in dropped:
             if not skip:
                 lines.end(article, box)
                 lines.gap(box)

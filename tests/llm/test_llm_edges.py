@@ -120,6 +120,30 @@ def test_html_plain_divs_are_not_cut():
     assert html_text.main_text(f"<p>one</p>{furniture}<p>two</p>") == "one\n\ntwo"
 
 
+@pytest.mark.parametrize("name", ["post category-social", "tag-cookies", "category-advertising", "comment", "banner", "social"])
+def test_html_articles_are_no_furniture_by_class(name):
+    text = "some words of the text " * 9
+    assert html_text.main_text(f"<div>site</div><article class='{name}'><p>{text}</p></article>") == text.strip()
+
+
+@pytest.mark.parametrize("name", ["content-sidebar", "col-no-sidebar", "sidebar-left", "left-sidebar", "discussion", "banner"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_html_containers_of_the_text_are_no_furniture(name, inner):
+    text = "some words of the text " * 9
+    if name == "discussion" and inner == "div":
+        return  # cannot be told from comments
+    page = f"<body><div>site</div><div class='{name}'><{inner}><p>{text}</p><div class=ad>buy</div></{inner}></div></body>"
+    assert html_text.main_text(page).split("\n\n")[-1] == text.strip()
+
+
+@pytest.mark.parametrize("name", ["site-footer", "main-nav", "post-comments", "cookie-notice", "ad", "related-posts", "right-sidebar"])
+def test_html_furniture_by_class(name):
+    text = "some words of the text " * 9
+    page = f"<body><div><p>{text}</p><div class={name}>{'more words ' * 9}</div><p>{text}</p></div></body>"
+    assert html_text.main_text(page) == f"{text.strip()}\n\n{text.strip()}"
+    assert html_text.main_text(page.replace("div>", "article>", 1)) == f"{text.strip()}\n\n{text.strip()}"
+
+
 def test_html_long_and_frame(spark):
     page = "<article>" + "<p>some words here</p>" * 20_000 + "</article>" + "<b>" * 20_000
     assert html_text.main_text(page).count("\n\n") == 19_999
