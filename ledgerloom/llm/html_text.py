@@ -2,11 +2,11 @@
 
 Markup is stripped to one line for each block element; lines of menus, adverts and
 other furniture become empty lines. Lengths are summed over sliding windows of lines:
-a region begins where the sum surges and ends where it dives. Lines of an article
-element surge at any length, other lines only where unlinked text is dense. In a page
-without article or main element all lines from the first dense region to the last are
-kept, and the other lines of the smallest container around them, except link-only ones
-of menus beside the text.
+a region begins where the sum surges and ends where it dives. Regions are
+where unlinked text is dense. In a page without article or main element all lines from
+the first dense region to the last are kept, and the other lines of the smallest
+container around them, except link-only ones of menus beside the text. Where there are articles, their lines decide: the largest one
+is kept, and those in the same container where the sums surge.
 """
 
 from __future__ import annotations
@@ -161,6 +161,7 @@ class _Lines:
         self.plain: list[int] = []
         self.article: list[int] = []
         self.container: list[int] = []
+        self.beside: dict[int, int] = {}  # the container around each article
         self.boxes: list[list[int]] = [[0, -1, -1, 1]]  # of each container: first line, end, parent, whether a root
         self._pieces: list[str] = []
         self._plain: list[str] = []
@@ -255,6 +256,7 @@ def lines_of(page: str) -> _Lines:
         elif (name == "article" or name == "main" and not has_article) and not inside and not skip:
             articles += 1
             article = articles
+            lines.beside[article] = stack[-1][3]
     if at < len(page) and not skip:
         lines.add(page[at:], links > 0)
     lines.end(article, box)
@@ -316,11 +318,13 @@ def main_text(page: str | None) -> str:
         sums: dict[int, int] = {}
         for a, n in zip(lines.article, inside, strict=True):
             sums[a] = sums.get(a, 0) + n
-        chosen = max((a for a in sums if a), key=lambda a: (sums[a], -a))
-        own = [n if a == chosen else 0 for a, n in zip(lines.article, inside, strict=True)]
-        spans = regions(own, 1)
-        # furniture between an article's lines parts them into regions of one text
-        kept = [i for i in range(spans[0][0], spans[-1][1]) if lines.article[i] == chosen]
+        largest = max((a for a in sums if a), key=lambda a: (sums[a], -a))
+        own: dict[int, list[int]] = {}
+        for a, n in zip(lines.article, lines.plain, strict=True):
+            own.setdefault(a, []).append(n)
+        beside = [a for a in sums if a and lines.beside[a] == lines.beside[largest]]
+        chosen = {largest, *(a for a in beside if regions(own[a], SURGE))}
+        kept = [i for i, a in enumerate(lines.article) if a in chosen]
     else:
         kept = _dense_lines(lines)
     return "\n\n".join(lines.text[i] for i in kept if lines.text[i])

@@ -144,6 +144,13 @@ def test_html_furniture_by_class(name):
     assert html_text.main_text(page.replace("div>", "article>", 1)) == f"{text.strip()}\n\n{text.strip()}"
 
 
+def test_html_text_of_several_articles():
+    text = ["first entry of a log " * 9, "second entry of it " * 7]
+    entries = "".join(f"<article><h2>Entry</h2><p>{x}</p></article>" for x in text)
+    page = f"<main>{entries}<article><a href=x>next log</a></article></main><div><article><p>{'other story ' * 9}</p></article></div>"
+    assert html_text.main_text(page).split("\n\n") == ["Entry", text[0].strip(), "Entry", text[1].strip()]
+
+
 def test_html_long_and_frame(spark):
     page = "<article>" + "<p>some words here</p>" * 20_000 + "</article>" + "<b>" * 20_000
     assert html_text.main_text(page).count("\n\n") == 19_999
