@@ -1,11 +1,13 @@
 """Benchmark decontamination by the q-gram lemma.
 
-A benchmark item is cut into overlapping pieces. A text within e edits of a piece of
-n characters shares at least n + 1 - q (e + 1) of its q-grams, all on diagonals that
-differ by e at most. So shared q-grams are counted in overlapping bands of diagonals,
-bands that reach the bound are kept, and a banded alignment decides.
-
-Texts are compared as UTF-8 bytes, lower-cased and with white space runs as one blank. Any one piece within its edits makes the document a leak of the item.
+The pieces of a benchmark item are its runs of n bytes at every offset. A text within
+e edits of a piece shares at least n + 1 - q (e + 1) of its q-grams, all on diagonals that
+differ by e at most. So the q-grams shared with the whole item are counted in overlapping
+bands of diagonals, the pieces whose places reach the bound in a band are kept, and a
+banded alignment decides.
+
+Texts are compared as UTF-8 bytes, lower-cased and with white space runs as one blank. Any one piece within its edits makes the document a leak of the item:
+any passage of PIECE bytes within 8 % of edits, or of 89 bytes verbatim, wherever it begins.
 """
 
 from __future__ import annotations
@@ -24,16 +26,17 @@ from ledgerloom.llm.common import staged, table
 from ledgerloom.llm.registry import query
 
 Q = 8
-#: Bytes of a piece, and of the step from piece to piece. Shorter items are one piece.
+#: Bytes of a piece. Shorter items are one piece.
 PIECE = 96
-STEP = 48
 #: Edits allowed in a piece: this share of its length.
 EDITS = 0.08
-#: Most bytes of benchmark text held by a task at once (its index takes some 60 times as
-#: much); more items are taken in turns, between which the documents are staged.
+#: Most bytes of benchmark text held by a task at once (its index takes less than 60 times
+#: as much); more items are taken in turns, between which the documents are staged.
 SLICE = 1 << 20
 #: Bytes of document text worked on at once.
 CHUNK = 1 << 20
+#: Pieces aligned at once.
+ALIGNED = 128
 
 _BLANKS = np.arange(256, dtype=np.uint8)
 _BLANKS[[9, 10, 11, 12, 13]] = 32
@@ -58,38 +61,46 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Pieces of items and where their q-grams stand."""
+    """Items and where their q-grams stand."""
 
-    pieces: list[bytes]
-    item: np.ndarray  # of each piece
-    edits: np.ndarray
+    texts: list[bytes]
+    item: np.ndarray  # id of each text
+    size: np.ndarray  # of a piece
+    budget: np.ndarray  # edits of a piece
     least: np.ndarray  # shared q-grams of a region within the edits
     keys: np.ndarray  # distinct q-grams, sorted
     first: np.ndarray  # postings of key i: first[i] to first[i + 1]
-    piece: np.ndarray
+    owner: np.ndarray
     place: np.ndarray
     table: np.ndarray  # a byte for each hash value: may a q-gram be among the keys
     shift: np.uint64
 
+    @property
+    def pieces(self) -> list[bytes]:
+        return [t[k : k + n] for t, n in zip(self.texts, self.size, strict=True) for k in range(len(t) - n + 1)]
+
+    @property
+    def edits(self) -> np.ndarray:
+        """Of each piece."""
+        return np.repeat(self.budget, [len(t) - n + 1 for t, n in zip(self.texts, self.size, strict=True)])
+
 
 def index(items: list[tuple[int, str | None]]) -> Index:
     """Null items and items of fewer than q bytes cannot be told from chance and are left out."""
-    pieces: list[bytes] = []
-    owner: list[int] = []
+    texts: list[bytes] = []
+    ids: list[int] = []
     for item, text in items:
         data = normal(np.frombuffer(pc.utf8_lower(pa.scalar((text or "").strip())).as_py().encode(), np.uint8))[0].tobytes()
         if item is None or len(data) < Q:
             continue
-        starts = range(0, max(len(data) - PIECE, 0) + STEP, STEP) if len(data) > PIECE else (0,)
-        for at in sorted({min(s, max(len(data) - PIECE, 0)) for s in starts}):
-            pieces.append(data[at : at + PIECE])
-            owner.append(item)
-    n = np.array([len(p) for p in pieces], dtype=np.int64)
+        texts.append(data)
+        ids.append(item)
+    n = np.array([min(len(t), PIECE) for t in texts], dtype=np.int64)
     edits = np.minimum((n * EDITS).astype(np.int64), np.maximum(n // Q - 1, 0))
-    all_grams = [grams(np.frombuffer(p, np.uint8)) for p in pieces]
-    flat = np.concatenate(all_grams) if pieces else np.zeros(0, dtype=np.uint64)
-    piece = np.repeat(np.arange(len(pieces)), [len(g) for g in all_grams]) if pieces else np.zeros(0, dtype=np.int64)
-    place = np.concatenate([np.arange(len(g)) for g in all_grams]) if pieces else np.zeros(0, dtype=np.int64)
+    all_grams = [grams(np.frombuffer(t, np.uint8)) for t in texts]
+    flat = np.concatenate(all_grams) if texts else np.zeros(0, dtype=np.uint64)
+    owner = np.repeat(np.arange(len(texts)), [len(g) for g in all_grams]) if texts else np.zeros(0, dtype=np.int64)
+    place = np.concatenate([np.arange(len(g)) for g in all_grams]) if texts else np.zeros(0, dtype=np.int64)
     order = np.argsort(flat, kind="stable")
     keys, first = np.unique(flat[order], return_index=True)
     bits = max(16, int(len(keys) * 32).bit_length())
@@ -97,18 +108,18 @@ def index(items: list[tuple[int, str | None]]) -> Index:
     known = np.zeros(1 << bits, dtype=bool)
     known[(keys * _MIX) >> shift] = True
     return Index(
-        pieces, np.array(owner, dtype=np.int64), edits, n + 1 - Q * (edits + 1), keys, np.append(first, len(flat)),
-        piece[order], place[order], known, shift,
+        texts, np.array(ids, dtype=np.int64), n, edits, n + 1 - Q * (edits + 1), keys, np.append(first, len(flat)),
+        owner[order], place[order], known, shift,
     )
 
 
-def _regions(data: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, lowest diagonal) of every band that reaches its bound."""
+def _regions(data: np.ndarray, ix: Index) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(place in ix.texts, lowest diagonal, starts of the pieces that reach their bound) of every band with such pieces."""
     every = grams(data)
     maybe = ix.table[(every * _MIX) >> ix.shift]
     at = np.flatnonzero(maybe)
     # A region has so many shared places within the length of a piece and its edits.
-    reach, fewest = PIECE + int(ix.edits.max(initial=0)), int(ix.least.min(initial=PIECE))
+    reach, fewest = PIECE + int(ix.budget.max(initial=0)), int(ix.least.min(initial=PIECE))
     upto = np.cumsum(maybe, dtype=np.int32)
     end = upto[np.minimum(at + reach, len(every) - 1)] if len(at) else np.zeros(0, dtype=np.int32)
     begin = np.flatnonzero(end - np.arange(len(at)) >= fewest)
@@ -119,42 +130,59 @@ def _regions(data: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray]:
     at, key = at[real], key[real]
     count = ix.first[key + 1] - ix.first[key]
     post = np.repeat(ix.first[key] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-    piece = ix.piece[post]
-    diagonal = np.repeat(at, count) - ix.place[post] + PIECE  # not negative
-    width = ix.edits[piece] + 1
-    band = diagonal // width
+    owner, place = ix.owner[post], ix.place[post]
+    longest = max(len(t) for t in ix.texts)
+    diagonal = np.repeat(at, count) - place + longest  # not negative
+    band = diagonal // (ix.budget[owner] + 1)
     # a diagonal belongs to the band that begins with its step and to the one before
-    span = len(data) + 2 * PIECE + 2
-    code = np.concatenate((piece * span + band, piece * span + np.maximum(band - 1, 0)))
-    same = np.concatenate((np.zeros(len(band), dtype=bool), band == 0))
-    code, shared = np.unique(code[~same], return_counts=True)
-    code = code[shared >= ix.least[code // span]]
-    piece, band = code // span, code % span
-    return piece, band * (ix.edits[piece] + 1) - PIECE
+    span = len(data) + longest + 2
+    code = np.concatenate((owner * span + band, (owner * span + band - 1)[band > 0]))
+    code = np.unique(code * longest + np.concatenate((place, place[band > 0])))
+    code, place = code // longest, code % longest
+    # the pieces from the first to the last of so many places that follow each other in a band
+    least = ix.least[code // span]
+    last = np.minimum(np.arange(len(code)) + least - 1, max(len(code) - 1, 0))
+    near = (last == np.arange(len(code)) + least - 1) & (code[last] == code) & (place[last] - place <= ix.size[code // span] - Q)
+    code, begin, end = code[near], place[near], place[last[near]]
+    for these in np.split(np.arange(len(code)), np.flatnonzero(np.diff(code)) + 1):
+        if not len(these):
+            continue
+        text, low = int(code[these[0]] // span), int(code[these[0]] % span)
+        n, size = int(ix.size[text]), len(ix.texts[text])
+        lows, highs = np.maximum(end[these] + Q - n, 0), np.minimum(begin[these], size - n)
+        some = lows <= highs
+        ends = np.bincount(lows[some], minlength=size + 1) - np.bincount(highs[some] + 1, minlength=size + 1)
+        yield text, low * (int(ix.budget[text]) + 1) - longest, np.flatnonzero(np.cumsum(ends) > 0)
 
 
-def aligned(piece: bytes, text: bytes, lowest: int, edits: int) -> int:
-    """Fewest edits that turn the piece into a run of ``text`` around the diagonals
+def aligned(item: bytes, starts: np.ndarray, size: int, text: bytes, lowest: int, edits: int) -> np.ndarray:
+    """Fewest edits that turn each piece of ``item`` into a run of ``text`` around the diagonals
     lowest to lowest + 2 edits + 1: a banded alignment with free ends in the text.
     """
-    p, t = np.frombuffer(piece, np.uint8), np.frombuffer(text, np.uint8)
-    width = 4 * edits + 2  # the band, and the edits to both sides
-    steps = np.arange(width)
-    lowest -= edits
-    far = len(piece) + len(text)
-    columns = lowest + steps  # column j of the text's bytes that row 0 has read
-    row = np.where((columns >= 0) & (columns <= len(t)), 0, far)
-    for i in range(len(p)):
-        # cell k stands for column lowest + i + 1 + k after reading piece byte i
-        column = lowest + i + 1 + steps
-        valid = (column >= 0) & (column <= len(t))
-        byte = np.where((column >= 1) & (column <= len(t)), t[np.clip(column - 1, 0, max(len(t) - 1, 0))] if len(t) else 0, 0)
-        change = row + ((byte != p[i]) | (column < 1))
-        drop = np.append(row[1:], far) + 1
-        best = np.where(valid, np.minimum(change, drop), far)
-        row = np.minimum.accumulate(best - steps) + steps
-        row = np.where(valid, row, far)
-    return int(row.min())
+    steps = np.arange(4 * edits + 2)  # the band, and the edits to both sides
+    columns = (starts + lowest - edits)[:, None] + steps  # what row 0 has read; column j stands for the first j bytes
+    # bytes that match nothing around the text: to change one costs what it costs to drop a byte of the piece
+    before = max(0, -int(columns.min()))
+    p, t = np.frombuffer(item, np.uint8), np.full(before + max(len(text), int(columns.max()) + size) + 1, 256, dtype=np.int16)
+    t[before + 1 : before + 1 + len(text)] = np.frombuffer(text, np.uint8)
+    columns += before
+    row = np.repeat(-steps[None, :].astype(np.int16), len(starts), axis=0)  # edits less the cell's number
+    for i in range(size):
+        # cell k stands for column columns[k] + i + 1 after reading byte i of the piece
+        best = row + (t[columns + (i + 1)] != p[starts + i][:, None])
+        best[:, :-1] = np.minimum(best[:, :-1], row[:, 1:] + 2)
+        row = np.minimum.accumulate(best, axis=1)
+    return (row + steps).min(axis=1)
+
+
+def _leaked(item: bytes, starts: np.ndarray, size: int, text: bytes, lowest: int, edits: int) -> bool:
+    """Whether any of the pieces is in the text within its edits; those in the middle are tried first."""
+    starts = starts[np.argsort(np.abs(2 * np.arange(len(starts)) - len(starts)), kind="stable")]
+    if item[starts[0] : starts[0] + size] in text:
+        return True
+    return any(
+        (aligned(item, starts[k : k + ALIGNED], size, text, lowest, edits) <= edits).any() for k in range(0, len(starts), ALIGNED)
+    )
 
 
 def leaks(texts: pa.Array, ix: Index) -> list[list[int]]:
@@ -175,18 +203,17 @@ def leaks(texts: pa.Array, ix: Index) -> list[list[int]]:
             stop = min(int(offsets[last]), begin + 2 * CHUNK)
             part, kept = normal(data[begin:stop])
             rows_at = np.searchsorted(offsets[first : last + 1], begin + np.flatnonzero(kept), side="right") - 1 + first
-            for piece, lowest in zip(*_regions(part, ix), strict=True):
-                n, e = len(ix.pieces[piece]), int(ix.edits[piece])
-                lo, hi = max(0, int(lowest) - e), min(len(part), int(lowest) + n + 3 * e + 2)
-                row = int(rows_at[min(max(int(lowest) + n // 2, 0), len(part) - 1)])
-                item = int(ix.item[piece])
-                if item in found.get(row, ()):
-                    continue
-                own = np.flatnonzero(rows_at[lo:hi] == row)  # a region does not leave its text
-                lo, hi = lo + int(own[0]), lo + int(own[-1]) + 1
-                near = part[lo:hi].tobytes()
-                if ix.pieces[piece] in near or aligned(ix.pieces[piece], near, int(lowest) - lo, e) <= e:
-                    found.setdefault(row, set()).add(item)
+            for k, lowest, starts in _regions(part, ix):
+                n, e, item = int(ix.size[k]), int(ix.budget[k]), int(ix.item[k])
+                rows = rows_at[np.clip(starts + lowest + n // 2, 0, len(part) - 1)]
+                for row in np.unique(rows):
+                    if item in found.get(int(row), ()):
+                        continue
+                    mine = starts[rows == row]  # a region does not leave its text
+                    lo = max(int(np.searchsorted(rows_at, row)), int(mine[0]) + lowest - e)
+                    hi = min(int(np.searchsorted(rows_at, row, side="right")), int(mine[-1]) + lowest + n + 3 * e + 2)
+                    if _leaked(ix.texts[k], mine, n, part[lo:hi].tobytes(), lowest - lo, e):
+                        found.setdefault(int(row), set()).add(item)
             if stop == offsets[last]:
                 break
             begin = stop - 4096

@@ -188,6 +188,22 @@ def test_leaks_against_full_alignment():
     assert got == want and 5 < sum(got) < 55
 
 
+def test_leaks_of_partial_passages_at_all_offsets():
+    rng = np.random.default_rng(7)
+    item = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), size=rng.integers(2, 9))) for _ in range(80))
+    ix = decontamination.index([(1, item), (2, ITEM)])
+    for length in (89, 96, 105, 120, 128):
+        texts = [f"WORDS BEFORE IT {item[k : k + length]} AND AFTER" for k in range(len(item) - length + 1)]
+        assert all(x == [1] for x in decontamination.leaks(pa.array(texts), ix)), length
+    # 7 edits in 96 bytes, at every offset
+    changed = [list(item[k : k + 96]) for k in range(len(item) - 95)]
+    for x in changed:
+        for at in range(6, 96, 13):
+            x[at] = "#"
+    assert all(x == [1] for x in decontamination.leaks(pa.array(["so " + "".join(x) + " it is" for x in changed]), ix))
+    assert decontamination.leaks(pa.array([item[k : k + 70] for k in range(len(item) - 69)]), ix) == [[]] * (len(item) - 69)
+
+
 def test_leaks_in_messy_texts(messy, empty, spark):
     ix = decontamination.index([(1, ITEM), (1, ITEM), (2, None), (None, ITEM), (3, "short"), (4, "twelve chars")])
     long = "unrelated words in between here " * 80_000
