@@ -35,7 +35,7 @@ from ledgerloom.llm.registry import query
 #: Phrases have 2 to LONGEST words and occur LEAST times in their language; BEST of each language are reported.
 LONGEST, LEAST, BEST = 5, 100, 2000
 #: N-grams of a hash partition, as planned.
-PART_MASS = 1 << 27
+PART_MASS = 1 << 26
 #: Most bits of the field of survivors (a broadcast of 32 MB), and bits for each entry that can survive.
 FIELD_BITS, BITS_EACH = 1 << 28, 16
 #: N-grams (pass 1) and different phrases (pass 2) that a task gathers before it sends them on.
@@ -114,12 +114,14 @@ def _languages(column: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """32-bit numbers as their lowest bytes, then the next ones and so on: planes of zeros cost next to nothing once compressed."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """32-bit numbers as their lowest bytes, then the next ones and so on, compressed: planes of zeros cost next to nothing."""
+    apart = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(values).to_bytes(4, "little") + pa.compress(apart.tobytes(), codec="zstd", asbytes=True)
 
 
 def unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    apart = pa.decompress(data[4:], decompressed_size=4 * int.from_bytes(data[:4], "little"), codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(apart, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _send(parts: int):
