@@ -52,6 +52,16 @@ QUALIFIERS = frozenset(
     "article blog user users email mobile desktop sticky fixed floating inline google dfp gpt text display wp block js the "
     "sub mega skip social share cookie newsletter ad nav menu comment".split()
 )
+#: Parts after a mark that leave it furniture (comment-list, share-buttons); any other word there is a topic.
+FOLLOWERS = frozenset(
+    "area bar block body box button buttons card container content feed form group holder icons inner item items label "
+    "layer line link links list message module outer overlay panel posts row section slot space stories strip text title "
+    "unit wrap wrapper zone".split()
+)
+#: Elements whose id is the target of a link to a part of the text, never a sign of furniture.
+ANCHORED = frozenset("p a span li dt dd".split()) | HEADINGS
+#: What the id of a section outside of articles may say: sections are linked to by topic.
+THREADS = frozenset("comments commentlist respond disqus".split())
 #: Marks of comment sections, which may hold more text than the page's article, and articles of their own.
 COMMENTS = frozenset("comment comments commentlist respond disqus discussion reply replies".split())
 #: Elements that hold blocks. One with a single line is a paragraph.
@@ -61,29 +71,44 @@ ROOTS = frozenset("html body main".split())
 #: Elements whose text does not count as text of the page.
 UNCOUNTED = FURNITURE - {"form"} | {"header"}
 
+# A tag that never ends reaches to the end of the page, as in browsers; no part of the page is read twice.
 _DROPPED = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+>", re.S | re.I
+    r"<!--.*?(?:-->|\Z)|<svg\b[^>]*+(?<=/)>|<(" + "|".join(RAW) + r")\b[^>]*+(?:>.*?(?:</\1\s*+>|\Z)|\Z)|<[!?][^>]*+(?:>|\Z)", re.S | re.I
 )
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>")
-_MARKED = re.compile(r"(?:^|[\s/])(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
+_MARKED = re.compile(r"(?:^|[\s/])(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
+
+
+def _tags(page: str):
+    """The tags of a page; behind its last > none can end, and what looks like one is text."""
+    return _TAG.finditer(page, 0, page.rfind(">") + 1)
 
 
-def _mark(attributes: str) -> str:
-    """The mark in the class, id or role names of an element, or an empty text; marks of comments go first."""
+def _mark(attributes: str, ids: frozenset[str]) -> str:
+    """The mark in the class and role names of an element, or one of ``ids`` in its id, or an empty text; marks of comments go first.
+
+    A name marks furniture if it is a mark with nothing but known parts around it.
+    """
     found = ""
     for m in _MARKED.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
+        allowed = ids if m[1].lower() == "id" else MARKS
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
             parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
-            if not parts or parts[0] in ABOUT:
+            at = next((i for i, x in enumerate(parts) if x in MARKS and x not in QUALIFIERS), None)
+            at = next((i for i in reversed(range(len(parts))) if parts[i] in MARKS), None) if at is None else at
+            if at is None or parts[at] not in allowed or parts[0] in ABOUT:
                 continue
-            mark = parts[0] if parts[0] in MARKS else parts[-1]
-            if mark in MARKS and (mark == parts[0] or all(x in QUALIFIERS or x.isdigit() for x in parts[:-1])):
-                found = mark if not found or mark in COMMENTS else found
+            before, after = parts[:at], parts[at + 1 :]
+            if all(x in QUALIFIERS or x in MARKS or x.isdigit() for x in before) and all(x in FOLLOWERS or x in MARKS or x.isdigit() for x in after):
+                found = parts[at] if not found or parts[at] in COMMENTS else found
     return found
 
 
 def _furniture(page: str) -> set[int]:
-    """Where the elements begin that are furniture by their names of class, id and role, and forms.
+    """Where the elements begin that are furniture by their names of class, id and role, forms, and articles in articles.
+
+    Articles inside an article are comments on it, unless they hold as much text as the article does outside of them.
+    Inside an article, and for elements that links lead to, an id says nothing.
 
     Not dropped are articles outside of articles, and what holds the main element, most of the
     unlinked text outside of comments, or the page's only articles and all but a few characters.
@@ -93,6 +118,8 @@ def _furniture(page: str) -> set[int]:
     marked: list[list] = []  # place, mark, then text, articles, mains and all articles before it and up to its end
     counts = [0, 0, 0, 0]
     at = links = 0
+    outer: list[list[int]] = []  # of each outermost article: its text outside of inner articles
+    inner: list[list[int]] = []  # of each article right inside one of these: place, number of the outer one, text
 
     def close(name: str) -> None:
         nonlocal links
@@ -102,10 +129,15 @@ def _furniture(page: str) -> set[int]:
             links -= top == "a"
             if number >= 0:
                 marked[number] += counts
+            if top == "article" and opened["article"] == 0:
+                outer[-1][0] += counts[0]
+            elif top == "article" and opened["article"] == 1:
+                inner[-1][2] += counts[0]
+                outer[-1][0] -= inner[-1][2]
             if top == name:
                 break
 
-    for m in _TAG.finditer(page):
+    for m in _tags(page):
         void = bool(stack) and stack[-1][2]
         if m.start() > at and not links:
             counts[0] += 0 if void else len(page[at : m.start()].strip())
@@ -119,7 +151,8 @@ def _furniture(page: str) -> set[int]:
         if name in BLOCKS:
             close("p")
         inside = opened.get("article", 0) > 0
-        mark = "" if name in ROOTS else _mark(m[3] or "")
+        ids = frozenset() if inside or name in ANCHORED else THREADS if name == "section" else MARKS
+        mark = "" if name in ROOTS else _mark(m[3] or "", ids)
         counts[3] += name == "article" and not inside and mark not in COMMENTS
         mark = "" if name == "article" and not inside else mark
         number = -1
@@ -129,6 +162,10 @@ def _furniture(page: str) -> set[int]:
         in_comments = mark in COMMENTS and name != "article"
         counts[1] += name == "article" and not inside and not (void or in_comments)
         counts[2] += name == "main"
+        if name == "article" and not inside:
+            outer.append([-counts[0]])
+        elif name == "article" and opened["article"] == 1:
+            inner.append([m.start(), len(outer) - 1, -counts[0]])
         stack.append((name, number, void or in_comments or name in UNCOUNTED))
         opened[name] = opened.get(name, 0) + 1
         links += name == "a"
@@ -146,7 +183,7 @@ def _furniture(page: str) -> set[int]:
             kept = mains or text > rest or articles == counts[1] > 0 and rest < SURGE
         if not kept:
             dropped.add(place)
-    return dropped
+    return dropped | {place for place, around, text in inner if text < outer[around][0]}
 
 
 def _spaced(pieces: list[str]) -> str:
@@ -220,7 +257,7 @@ def lines_of(page: str) -> _Lines:
             if top == name:
                 break
 
-    for m in _TAG.finditer(page):
+    for m in _tags(page):
         if m.start() > at and not skip:
             lines.add(page[at : m.start()], links > 0)
         at = m.end()
