@@ -12,6 +12,8 @@ use a small staged table of its entities and candidates.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +41,13 @@ LIKE = {
     "card": r"^[0-9](?:-?[0-9]){7,18}$",
     "phone": r"^[+(]?[0-9][0-9().-]{4,}[0-9]$",
 }
-ROUNDS = 2
 #: Least number of different known instances of a pattern, and least share of one kind among its instances.
 SUPPORT = 5
 CONFIDENCE = 0.7
 #: Characters before an entity in which its two words are looked for.
 CONTEXT = 100
+#: Stands for an earlier identifier among these words.
+EARLIER = " identifier "
 
 SPAN = "struct<kind:string,rank:int,start:int,end:int,instance:string,pattern:string>"
 
@@ -112,17 +115,19 @@ def _spans(rows: DataFrame, keep: list[str], text: str, kind: str, rank: int, sh
 
     def span(found: Column, i: Column) -> Column:
         gap = F.get("_left", i)
+        # Two words are at most two identifiers back.
+        words = F.concat_ws(EARLIER, *(F.right(F.get("_left", i - k), F.lit(CONTEXT)) for k in (2, 1, 0)))
         start = F.get("_before", i) + F.length(gap)
         if kind != "candidate":
             return F.struct(
                 F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), start.alias("start"), (start + F.length(found)).alias("end"),
-                found.alias("instance"), _pattern(gap).alias("pattern"),
+                found.alias("instance"), _pattern(words).alias("pattern"),
             )
         lead = F.length(F.regexp_extract(found, r"^[^A-Za-z0-9+(]*", 0))
         bare = F.regexp_replace(F.regexp_replace(found, r"^[^A-Za-z0-9+(]+", ""), r"[^A-Za-z0-9)]+$", "")
         return F.struct(
             F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), (start + lead).alias("start"),
-            (start + lead + F.length(bare)).alias("end"), bare.alias("instance"), _pattern(gap).alias("pattern"),
+            (start + lead + F.length(bare)).alias("end"), bare.alias("instance"), _pattern(words).alias("pattern"),
         )
 
     spans = F.transform("_hits", span)
@@ -131,6 +136,23 @@ def _spans(rows: DataFrame, keep: list[str], text: str, kind: str, rank: int, sh
     return select_once(rows, keep, [spans.cast(f"array<{SPAN}>").alias(f"_{kind}")])
 
 
+def _meets(spans: Column, c: Column) -> Column:
+    """Whether a span overlaps one of ``spans``, which are sorted and apart: the last that begins before its end is looked up."""
+    n = F.size(spans)
+    steps = F.sequence(F.lit(0), F.floor(F.log2(n)).cast("int"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        before = F.get(spans, middle)["start"] < c["end"]
+        open_ = at["low"] < at["high"]
+        return F.struct(
+            F.when(open_ & before, middle + 1).otherwise(at["low"]).alias("low"), F.when(open_ & ~before, middle).otherwise(at["high"]).alias("high")
+        )
+
+    begun = F.aggregate(steps, F.struct(F.lit(0).alias("low"), n.alias("high")), halve)["low"]
+    return F.when((n == 0) | (begun == 0), False).otherwise(F.get(spans, begun - 1)["end"] > c["start"])
+
+
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the text, with the text's digest, base spans and candidate spans (those that meet no base span)."""
     own = [f"`{c}`" for c in docs.columns if c != text and c.lower() not in ("base", "found")]
@@ -145,14 +167,17 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
         F.flatten(F.array(*[F.col(f"_{k}") for k in KINDS])),
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]),
     )
-    rows = select_once(rows, [*own, "_text_key", "_candidate"], [base.alias("_base")])
-    free = F.filter("_candidate", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    rows = select_once(rows, [*own, "_text_key", "_candidate", *(f"_{k}" for k in KINDS)], [base.alias("_base")])
+    free = F.filter("_candidate", lambda c: ~functools.reduce(Column.__or__, [_meets(F.col(f"_{k}"), c) for k in KINDS]))
     return rows.select(*own, "_text_key", "_base", F.when(F.size("_candidate") > 0, free).otherwise(F.col("_candidate")).alias("_candidates"))
 
 
-def discover(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def discover(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Identifiers that high-confidence patterns lead to: instance, kind.
 
+    Rounds go on until one adds no instance: what is learned makes patterns surer, so
+    nothing once learned is lost, and the instances are finite.
+
     ``found`` comes from ``entities``. Each (pattern, instance) counts once however
     often it stands, so that copies of a text add no weight.
     """
@@ -163,8 +188,8 @@ def discover(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, con
     free = graph.where("kind is null").select("pattern", "instance", F.explode(F.array_compact(like)).alias("kind"))
     known = graph.where("kind is not null").select("pattern", "instance", "kind", F.lit(1.0).alias("sure"))
     sizes = graph.groupBy("pattern").agg(F.count_distinct("instance").alias("n"))
-    learned = None
-    for _ in range(rounds):
+    learned, before = None, -1
+    while True:
         rows = known if learned is None else known.union(free.join(learned, ["instance", "kind"]).select("pattern", "instance", "kind", "sure"))
         # how sure a pattern is: the known part of all its instances
         patterns = (
@@ -179,6 +204,10 @@ def discover(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, con
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("p") * F.col("p"), F.lit(1e-6)))))
         scored = free.join(patterns, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - doubt).alias("sure"))
         learned = staged(scored.where(F.col("sure") >= confidence * confidence), "learned")
+        now = learned.count()
+        if now <= before or not now:
+            break
+        before = now
     return learned.groupBy("instance").agg(F.max_by("kind", F.struct("sure", "kind")).alias("kind"))
 
 
@@ -200,7 +229,9 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
         .groupBy(F.col("_text_key").alias("_key"))
         .agg(F.collect_list(F.struct("kind", rank.alias("rank"), "start", "end")).alias("_more"))  # of one text
     )
-    joined = rows.join(more, F.col("_text_key") == F.col("_key"), "left")
+    # Only texts with candidates look for finds: the many equal or empty texts without any stay where they are.
+    asking = rows.where(F.size("_candidates") > 0).join(more, F.col("_text_key") == F.col("_key"), "left").drop("_key")
+    joined = rows.where(F.size("_candidates") <= 0).withColumn("_more", F.lit(None).cast(more.schema["_more"].dataType)).unionByName(asking)
     own = [f"`{c}`" for c in rows.columns if c not in ("_text_key", "_base", "_candidates")]
     slim = lambda a: F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end")))
     base = slim(F.col("_base"))
