@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import amount_es
@@ -11,6 +13,11 @@ from ledgerloom.sources.snapshots import conform
 from ledgerloom.vocab import CORRECTION_KINDS, ITEM_NUMBER_FIELDS
 
 _ITEM_FIELDS = ["description", *ITEM_NUMBER_FIELDS]
+_SIGNATURE = ["sig_description", "sig_quantity", "sig_unit_price"]
+#: Ids and line numbers of one run of places within a group; a group of any size is numbered run by run.
+RUN = 1 << 16
+
+
 def kind_code(kind: Column) -> Column:
     """One of update, add, delete, whatever spelling the log uses."""
     low = F.lower(kind)
@@ -54,7 +61,10 @@ def overlay_items(items: DataFrame, corrections: DataFrame) -> DataFrame:
     * any delete removes the signature;
     * otherwise the last update replaces the item;
     * the first add counts only if the signature did not survive.
+
+    Items may have an id; what survives keeps it, added items have none.
     """
+    own = ["id"] if "id" in items.columns else []
     kind = F.col("_kind")
     coded = corrections.withColumn("_kind", kind_code(F.col("kind")))
     complete = (
@@ -83,7 +93,7 @@ def overlay_items(items: DataFrame, corrections: DataFrame) -> DataFrame:
         "invoice_id",
         *item_signature(F.col("description"), F.col("quantity"), F.col("unit_price")),
         F.lit("base").alias("_kind"), F.col("seq").alias("_order"),
-        F.struct(*_ITEM_FIELDS).alias("_item"),
+        F.struct(*_ITEM_FIELDS).alias("_item"), *own,
     )
 
     def of_kind(k: str, fold) -> Column:
@@ -91,16 +101,19 @@ def overlay_items(items: DataFrame, corrections: DataFrame) -> DataFrame:
         return fold(F.when(is_kind, F.struct("_order", "_item")))["_item"]
 
     signature = ["sig_description", "sig_quantity", "sig_unit_price"]
-    merged = base.unionByName(changes).groupBy("invoice_id", *signature).agg(
+    both = base.unionByName(changes, allowMissingColumns=True)
+    last_id = [F.max_by("id", F.when(kind == "base", F.col("_order"))).alias("_id") for _ in own]
+    merged = both.groupBy("invoice_id", *signature).agg(
         of_kind("base", F.max).alias("_base"),
         of_kind("update", F.max).alias("_update"),
         of_kind("add", F.min).alias("_add"),
-        F.coalesce(F.bool_or(kind == "delete"), F.lit(False)).alias("_deleted"),
+        F.coalesce(F.bool_or(kind == "delete"), F.lit(False)).alias("_deleted"), *last_id,
     )
     survives = F.col("_base").isNotNull() & ~F.col("_deleted")
     result = F.when(survives, F.coalesce("_update", "_base")).otherwise(F.col("_add"))
-    return merged.select("invoice_id", result.alias("_r")).where(F.col("_r").isNotNull()).select(
-        "invoice_id", "_r.*"
+    ids = [F.when(survives, F.col("_id")).alias("id") for _ in own]
+    return merged.select("invoice_id", result.alias("_r"), *ids).where(F.col("_r").isNotNull()).select(
+        "invoice_id", "_r.*", *own
     )
 
 
@@ -132,6 +145,76 @@ def replay_item_fields(items: DataFrame, log: DataFrame) -> DataFrame:
     return update_items(items, changes.select(F.col("original_item_id").alias("item_id"), "field", "corrected_value", "id"))
 
 
+def numbered_within(rows: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Add ``_nth``: the place of each row within its group, by ``order`` (a whole number, unique in the group).
+
+    Numbers are given within runs of RUN values of the order, and each run starts where
+    the runs before it end. Only the sizes of runs are seen per group, so a group with a
+    third of all rows is numbered in as many tasks as it has runs. Null group parts are equal.
+    """
+    run = F.floor(F.col(order) / RUN)
+    keyed = rows.withColumn("_run", run)
+    sizes = keyed.groupBy(*group, "_run").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_run").alias("_g_run"), F.coalesce(before, F.lit(0)).alias("_start"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]
+    joined = keyed.join(starts, reduce(Column.__and__, same, F.col("_run") == F.col("_g_run")))
+    place = F.row_number().over(Window.partitionBy(*group, "_run").orderBy(order))
+    return joined.withColumn("_nth", F.col("_start") + place).select(*rows.columns, "_nth")
+
+
+def as_extracted(items: DataFrame, log: DataFrame) -> DataFrame:
+    """Stored items as they were extracted: before their first logged change of each field.
+
+    ``log`` rows of scalar changes hold the value before in ``original_value``, as stored.
+    """
+    plain = ~F.startswith(F.ltrim(F.coalesce("corrected_value", F.lit(""))), F.lit("{"))
+    changes = log.where((kind_code(F.col("kind")) == "update") & F.col("field").isin(*_ITEM_FIELDS) & plain)
+
+    def first(f: str) -> Column:
+        # the entry as a struct: an original value may be null
+        return F.min(F.when(F.col("field") == f, F.struct("id", "original_value"))).alias(f"_o_{f}")
+
+    wide = changes.groupBy(F.col("original_item_id").alias("_item_id")).agg(*[first(f) for f in _ITEM_FIELDS])
+    joined = items.join(wide, items["id"] == wide["_item_id"], "left")
+
+    def before(f: str) -> Column:
+        value = F.col(f"_o_{f}.original_value")
+        value = value.try_cast("double") if f in ITEM_NUMBER_FIELDS else value
+        return F.when(F.col(f"_o_{f}").isNotNull(), value).otherwise(items[f]).alias(f)
+
+    return joined.select(*[before(c) if c in _ITEM_FIELDS else items[c] for c in items.columns])
+
+
+def match_identities(old: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Give freshly extracted items (invoice_id, seq, fields) the ids of the items they were before.
+
+    ``old``: id, invoice_id and the fields as extracted. Items of one invoice match by
+    signature, and those of equal signature by their order (id, seq). An item without
+    counterpart has a null id; an old item without one is gone.
+    """
+    def keyed(rows: DataFrame, order: str) -> DataFrame:
+        signature = item_signature(F.col("description"), F.col("quantity"), F.col("unit_price"))
+        return numbered_within(rows.select("*", *signature), ["invoice_id", *_SIGNATURE], order)
+
+    known = keyed(old.select("id", "invoice_id", "description", "quantity", "unit_price"), "id")
+    known = known.select("id", *[F.col(c).alias(f"_k_{c}") for c in ("invoice_id", *_SIGNATURE, "_nth")])
+    new = keyed(fresh.drop("id"), "seq")
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in ("invoice_id", *_SIGNATURE)]
+    joined = new.join(known, reduce(Column.__and__, same, F.col("_nth") == F.col("_k__nth")), "left")
+    return joined.select("id", *[c for c in fresh.columns if c != "id"])
+
+
+def replay_on_extracted(old: DataFrame, fresh: DataFrame, log: DataFrame) -> DataFrame:
+    """Fresh items with the ids of the old ones and all logged corrections: scalar ones by id, then payloads by signature.
+
+    ``old`` are the items as stored, corrections included. Returns id (null for new
+    items), invoice_id and the item fields.
+    """
+    matched = match_identities(as_extracted(old, log), fresh)
+    return overlay_items(replay_item_fields(matched, log), log)
+
+
 def add_items(items: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add requested items; returns the new items table and the audit rows.
 

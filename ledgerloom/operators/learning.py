@@ -21,9 +21,14 @@ def frequent_values(corrections: DataFrame, threshold: int = LEARN_THRESHOLD) ->
 
     A tie goes to the value entered first.
     """
+    return modal_values(value_frequency(corrections), threshold)
+
+
+def modal_values(frequency: DataFrame, threshold: int = LEARN_THRESHOLD) -> DataFrame:
+    """As ``frequent_values``, from counts (field, corrected_value, times, first_id)."""
     order = F.struct(F.col("times"), (-F.col("first_id")).alias("earlier"))
     best = F.max_by(F.struct("corrected_value", "times"), order)
-    per_field = value_frequency(corrections).groupBy("field").agg(
+    per_field = frequency.groupBy("field").agg(
         best.alias("_best"), F.min("first_id").alias("first_id")
     )
     return per_field.select("field", "_best.corrected_value", "_best.times", "first_id").where(

@@ -34,8 +34,11 @@ def canonical_items(items: DataFrame) -> DataFrame:
 
 
 def attach_user(invoices: DataFrame, users: DataFrame, default_user: int | None = None) -> DataFrame:
-    """Set user_id by customer e-mail; without a match the default stays."""
-    owners = users.select(F.col("email").alias("customer_email"), F.col("id").alias("_owner"))
+    """Set user_id by customer e-mail; without a match the default stays.
+
+    Of several users with one address the one of lowest id counts.
+    """
+    owners = users.groupBy(F.col("email").alias("customer_email")).agg(F.min("id").alias("_owner"))
     joined = invoices.join(owners, "customer_email", "left")
     owner = F.coalesce("_owner", F.lit(default_user).cast("long"))
     return joined.withColumn("user_id", owner).drop("_owner")
@@ -47,20 +50,23 @@ def latest_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(last.alias("_row")).select("_row.*")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: str = "file_path", order: str = "seq") -> DataFrame:
+def upsert(
+    existing: DataFrame, incoming: DataFrame, key: str = "file_path", order: str = "seq", highest: int | None = None
+) -> DataFrame:
     """Merge extracted invoices into the snapshot.
 
     The last incoming row per key wins. A matched invoice keeps its id and takes
     every incoming value, nulls included; unmatched rows get new ids above the
     present ones; the rest stays. Both sides are unique on the key when they
     meet, so no key can be hot in the join. New ids are the highest stored id
-    plus the row's sequence number, which needs no global ordering.
+    plus the row's sequence number, which needs no global ordering. ``highest`` is that
+    stored id if it is known, or if ``existing`` is only a part of what is stored.
     """
     fresh = latest_per_key(incoming, key, [order])
     values = [c for c in existing.columns if c not in ("id", key)]
     new = fresh.select(key, F.col(order).alias("_seq"), *[F.col(c).alias(f"_new_{c}") for c in values])
     joined = existing.join(new, key, "full_outer")
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar() if highest is None else F.lit(highest)
     arrived, known = F.col("_seq").isNotNull(), F.col("id").isNotNull()
     action = F.when(arrived & known, "update").when(arrived, "insert").otherwise("keep")
     return joined.select(
@@ -89,13 +95,14 @@ def header_corrections_wide(corrections: DataFrame, fields: list[str]) -> DataFr
     return corrections.groupBy("invoice_id").agg(*[newest(f).alias(f"_c_{f}") for f in fields])
 
 
-def apply_header_corrections(invoices: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Corrections beat extracted values, field by field."""
+def apply_header_corrections(invoices: DataFrame, corrections: DataFrame, where: Column | None = None) -> DataFrame:
+    """Corrections beat extracted values, field by field; with ``where`` in the rows of that condition only."""
     fields = [f for f in CORRECTABLE_FIELDS if f in invoices.columns]
     wide = header_corrections_wide(corrections, fields).withColumnRenamed("invoice_id", "id")
     joined = invoices.join(wide, "id", "left")
     return joined.select(*[
-        F.coalesce(corrected_value(F.col(f"_c_{c}"), c), F.col(c)).alias(c) if c in fields else F.col(c)
+        F.coalesce(corrected_value(F.col(f"_c_{c}") if where is None else F.when(where, F.col(f"_c_{c}")), c), F.col(c)).alias(c)
+        if c in fields else F.col(c)
         for c in invoices.columns
     ])
 

@@ -313,13 +313,15 @@ def empty_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT p_name AS field, min('b' || p_brand) AS regex FROM part WHERE p_size < 30 GROUP BY 1),
-l AS (SELECT p_name AS field, min('l' || p_type) AS regex FROM part WHERE p_brand = 'Brand#7' GROUP BY 1)
+WITH b AS (SELECT p_name AS field, min('b' || p_brand) AS regex FROM part GROUP BY 1),
+l AS (SELECT CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_name || ' ' || p_type END AS field, min('l' || p_type) AS regex FROM part GROUP BY 1)
 SELECT coalesce(b.field, l.field) AS field, coalesce(l.regex, b.regex) AS regex,
   CASE WHEN l.regex IS NULL THEN 'base' ELSE 'learned' END AS origin
 FROM b FULL JOIN l ON b.field = l.field""")
 def pattern_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """Base and learned patterns from all parts: some fields have both, some only one of them."""
     part = table(spark, folder, "part")
-    base = part.where("p_size < 30").groupBy(F.col("p_name").alias("field")).agg(F.expr("min(concat('b', p_brand)) AS regex"))
-    learned = part.where("p_brand = 'Brand#7'").groupBy(F.col("p_name").alias("field")).agg(F.expr("min(concat('l', p_type)) AS regex"))
+    base = part.groupBy(F.col("p_name").alias("field")).agg(F.expr("min(concat('b', p_brand)) AS regex"))
+    field = F.expr("CASE WHEN p_size % 2 = 0 THEN p_name ELSE concat(p_name, ' ', p_type) END")
+    learned = part.groupBy(field.alias("field")).agg(F.expr("min(concat('l', p_type)) AS regex"))
     return merge_patterns(base, learned)

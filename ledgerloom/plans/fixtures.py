@@ -143,6 +143,10 @@ def invoice_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def archive_members(spark: SparkSession, folder: str) -> DataFrame:
+    return members_of(spread(table(spark, folder, "orders")))
+
+
+def members_of(orders: DataFrame) -> DataFrame:
     """Two members per order: a text, and an XML that is complete for one status only."""
     text = f"""concat('Descripción Cantidad Valor Unitario 1\nParte ', o_custkey, ' azul 2 ', total, '\nSubtotal ', subtotal,
         '\nNúmero de factura: FV-', o_orderkey, '\nFecha: ', {DATE_TEXT}, '\nTOTAL A PAGAR: $ ', total)"""
@@ -152,7 +156,7 @@ def archive_members(spark: SparkSession, folder: str) -> DataFrame:
     complete = f"concat(replace({invoice_xml()}, '</Invoice>', ''), {line})"
     partial = invoice_xml("cast(NULL AS string)")
     xml = f"CASE o_orderstatus WHEN 'F' THEN {wrap_xml(complete)} WHEN 'O' THEN {partial} ELSE '<ApplicationResponse/>' END"
-    return orders_with_amounts(spread(table(spark, folder, "orders"))).selectExpr(
+    return orders_with_amounts(orders).selectExpr(
         "o_orderkey AS doc_key",
         f"inline(array(named_struct('member_no', 1, 'kind', 'pdf', 'payload', {text}), "
         f"named_struct('member_no', 2, 'kind', 'xml', 'payload', {xml})))",

@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import corrections as corr, store
+from ledgerloom.operators import corrections as corr, documents, store
 from ledgerloom.plans import fixtures as fx
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.scalars import day
-from ledgerloom.session import spread
+from ledgerloom.session import spread, work_dir
+from ledgerloom.sources import versions
 from ledgerloom.sources.catalog import table
 from ledgerloom.sources.snapshots import empty
 
@@ -312,3 +313,69 @@ def correction_log_patch(spark: SparkSession, folder: str) -> DataFrame:
     )
     removed = orders.where("o_orderstatus = 'P'").selectExpr("o_orderkey AS id")
     return corr.patch_log(log.where("original_value <> 'error'"), log.where("original_value = 'error'"), patches, removed)
+
+
+@query(f"""
+WITH i AS ({fx.ITEMS_SQL}), c AS ({fx.ITEM_CHANGES_SQL}),
+l AS (SELECT item_id, arg_max(corrected_value, id) FILTER (field = 'description') AS d,
+  arg_max(corrected_value, id) FILTER (field = 'quantity') AS q, arg_max(corrected_value, id) FILTER (field = 'unit_price') AS p,
+  arg_max(corrected_value, id) FILTER (field = 'line_total') AS t FROM c GROUP BY item_id)
+SELECT i.id, invoice_id, coalesce(d, description) AS description, coalesce(CAST(q AS DOUBLE), quantity) AS quantity,
+  coalesce(CAST(replace(p, ',', '.') AS DOUBLE), unit_price) AS unit_price, coalesce(CAST(replace(t, ',', '.') AS DOUBLE), line_total) AS line_total
+FROM i LEFT JOIN l ON i.id = l.item_id""")
+def item_identity_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """Corrected items are extracted again, without ids: they get their ids back, and with them all corrections."""
+    extracted = fx.stored_items(spark, folder)
+    changes = fx.item_changes(spark, folder)
+    before = changes.join(extracted.withColumnRenamed("id", "item_id"), "item_id")
+    original = F.expr("CASE field WHEN 'description' THEN description WHEN 'quantity' THEN string(quantity) "
+                      "WHEN 'unit_price' THEN string(unit_price) ELSE string(line_total) END")
+    log = before.select(
+        "id", "invoice_id", F.lit("update").alias("kind"), F.col("item_id").alias("original_item_id"), "field",
+        original.alias("original_value"), "corrected_value",
+    )
+    fresh = extracted.withColumnRenamed("id", "seq")
+    return corr.replay_on_extracted(corr.update_items(extracted, changes), fresh, log)
+
+
+#: A batch of documents with two items each.
+_RECORD = ["concat('f/', o_orderkey) AS file_path", "o_orderkey AS seq", "concat('FV-', o_orderkey) AS invoice_number"]
+
+
+def _record_items(orders: DataFrame) -> DataFrame:
+    return orders.selectExpr(
+        "concat('f/', o_orderkey) AS file_path",
+        "inline(array(named_struct('line_no', 1, 'description', concat('Parte ', o_custkey), 'quantity', 2.0D, 'unit_price', o_totalprice, 'line_total', 2 * o_totalprice),"
+        " named_struct('line_no', 2, 'description', 'Flete', 'quantity', 1.0D, 'unit_price', 10.0D, 'line_total', 10.0D)))",
+    )
+
+
+@query("""
+SELECT 'f/' || o_orderkey AS file_path, 'FV-' || o_orderkey AS invoice_number, 'COP' AS currency,
+  CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS total_amount,
+  CASE WHEN o_orderstatus = 'F' THEN 'segundo ' ELSE 'primero ' END || o_orderkey AS raw_text,
+  2 AS n_items, 2 AS n_ids, CASE WHEN o_orderstatus = 'F' THEN 2 * (o_totalprice + 1) ELSE 2 * o_totalprice END + 10 AS items_total
+FROM orders WHERE o_orderstatus <> 'P'""")
+def snapshot_commit(spark: SparkSession, folder: str) -> DataFrame:
+    """Two batches committed as versions, and a third that was written but not committed, which nobody sees."""
+    base = work_dir(spark, "snapshot_commit")
+    orders = spread(table(spark, folder, "orders"))
+    none = spark.createDataFrame([], "id BIGINT, email STRING")
+    logs = empty(spark, "field_corrections"), empty(spark, "item_corrections")
+
+    def batch(rows: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+        records = rows.selectExpr(*_RECORD, "o_totalprice AS total_amount", "'COP' AS currency", f"concat('{text} ', o_orderkey) AS raw_text")
+        return records, _record_items(rows)
+
+    documents.commit_batch(spark, base, *batch(orders.where("o_orderstatus <> 'P'"), "primero"), none, *logs)
+    again = orders.where("o_orderstatus = 'F'").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    version = documents.commit_batch(spark, base, *batch(again, "segundo"), none, *logs)
+    versions.write(orders.where("o_orderstatus = 'P'").selectExpr("o_orderkey AS id", *_RECORD), base, "invoices", "file_path")
+    now = versions.latest(spark, base)
+    assert now == version
+    invoices = versions.read(spark, now, "invoices", documents.INVOICES)
+    items = versions.read(spark, now, "items", f"{documents.ITEMS}, file_path STRING").groupBy("file_path").agg(
+        F.count("*").alias("n_items"), F.count_distinct("id").alias("n_ids"), F.sum("line_total").alias("items_total")
+    )
+    texts = versions.read(spark, now, "texts", documents.TEXTS)
+    return invoices.select("file_path", "invoice_number", "currency", "total_amount").join(items, "file_path").join(texts, "file_path")
