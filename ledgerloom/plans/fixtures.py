@@ -136,6 +136,14 @@ def invoice_xml(total: str = "total") -> str:
     ]) + ")"
 
 
+#: SQL expression for one UBL line of a row with what, n and price.
+XML_LINE = (
+    "concat('<cac:InvoiceLine><cbc:ID>1</cbc:ID><cbc:InvoicedQuantity>', n, '</cbc:InvoicedQuantity><cbc:LineExtensionAmount>', n * price,"
+    " '</cbc:LineExtensionAmount><cac:Item><cbc:Description>', what, '</cbc:Description></cac:Item><cac:Price><cbc:PriceAmount>', price,"
+    " '</cbc:PriceAmount></cac:Price></cac:InvoiceLine>')"
+)
+
+
 def invoice_documents(spark: SparkSession, folder: str) -> DataFrame:
     """One UBL invoice per order: doc_key, xml."""
     orders = orders_with_amounts(spread(table(spark, folder, "orders")))

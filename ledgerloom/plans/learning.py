@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import features, learning as learn_ops, models, quality
+from ledgerloom.operators import count_model as counts, features, learning as learn_ops, models, quality
 from ledgerloom.operators.corrections import upsert_corrections
 from ledgerloom.plans import fixtures as fx
 from ledgerloom.plans.registry import query
@@ -162,3 +162,59 @@ def classify_docs(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     model = models.train_classifier(docs.join(labels, "doc_id"), "text", "quality")
     return models.classify(model, docs).drop("text")
+
+
+#: Corrections of two fields, whose texts share words with several values.
+_OPEN_LOG = [
+    "event_id", "IF(user_id % 2 = 0, 'supplier_name', 'currency') AS field",
+    "concat(event_type, ' k', get_json_object(props, '$.k'), ' u', user_id % 7) AS original_value",
+    "CASE WHEN value < 5 THEN NULL ELSE concat('Valor ', event_type, ' ', cast(get_json_object(props, '$.k') AS int) % 3) END AS corrected_value",
+]
+_OPEN_SQL = r"""
+log AS (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'supplier_name' ELSE 'currency' END AS field,
+    event_type || ' k' || (props->>'$.k') || ' u' || (user_id % 7) AS original_value,
+    CASE WHEN value >= 5 THEN 'Valor ' || event_type || ' ' || (CAST(props->>'$.k' AS INT) % 3) END AS value FROM events),
+known AS (SELECT * FROM log WHERE value IS NOT NULL),
+tokens AS (SELECT field, value, unnest(regexp_extract_all(lower(original_value), '[\p{L}\p{M}\p{N}_]{2,}')) AS word FROM known),
+w AS (SELECT field, word, value, count(*) AS k FROM tokens GROUP BY ALL),
+v AS (SELECT field, value, count(*) AS n FROM known GROUP BY ALL),
+s AS (SELECT field, value, sum(k) AS n_words FROM w GROUP BY ALL),
+f AS (SELECT field, sum(n) AS n_field, arg_min(value, (-n, value)) AS usual FROM v GROUP BY ALL),
+voc AS (SELECT field, count(DISTINCT word) AS n_vocabulary FROM w GROUP BY ALL)"""
+
+
+@query(f"""
+WITH {_OPEN_SQL}
+SELECT field, word, value, k AS n, n AS n_value, CAST(n_words AS BIGINT) AS n_words, CAST(n_field AS BIGINT) AS n_field, n_vocabulary, usual
+FROM w JOIN v USING (field, value) JOIN s USING (field, value) JOIN f USING (field) JOIN voc USING (field)""")
+def count_model_train(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts of the correction model, saved and loaded."""
+    path = work_dir(spark, "count_model")
+    counts.save(counts.train(table(spark, folder, "events").selectExpr(*_OPEN_LOG)), path)
+    model = counts.load(spark, path)
+    values = model.values.withColumnRenamed("n", "n_value")
+    return model.words.join(values, ["field", "value"]).join(model.fields.withColumnRenamed("n", "n_field"), "field")
+
+
+@query(rf"""
+WITH {_OPEN_SQL},
+t AS (SELECT DISTINCT field, original_value FROM log),
+m AS (SELECT field, original_value, word, count(*) AS m FROM (
+  SELECT field, original_value, unnest(regexp_extract_all(lower(original_value), '[\p{{L}}\p{{M}}\p{{N}}_]{{2,}}')) AS word FROM t) GROUP BY ALL),
+len AS (SELECT field, original_value, sum(m) AS l FROM m SEMI JOIN w USING (field, word) GROUP BY ALL),
+g AS (SELECT m.field, original_value, value, sum(m * ln(k + 1)) AS gain FROM m JOIN w USING (field, word) GROUP BY ALL),
+p AS (SELECT g.field, g.original_value, arg_min(g.value, (-round(ln(n / n_field) + gain - l * ln(n_words + n_vocabulary), 9), g.value)) AS best
+  FROM g JOIN v ON v.field = g.field AND v.value = g.value JOIN s ON s.field = g.field AND s.value = g.value
+  JOIN f ON f.field = g.field JOIN voc ON voc.field = g.field JOIN len ON len.field = g.field AND len.original_value = g.original_value GROUP BY ALL)
+SELECT event_id, coalesce(best, usual) AS overwritten, coalesce(log.value, best, usual) AS filled
+FROM log LEFT JOIN p USING (field, original_value) LEFT JOIN f USING (field)""")
+def count_model_predict(spark: SparkSession, folder: str) -> DataFrame:
+    """Corrections predicted for every logged text, to overwrite the value there is or to fill a missing one."""
+    log = table(spark, folder, "events").selectExpr(*_OPEN_LOG)
+    path = work_dir(spark, "count_model")
+    counts.save(counts.train(log), path)
+    out = counts.predict(counts.load(spark, path), log)
+    return out.select(
+        "event_id", models.merge_prediction(F.col("corrected_value"), F.col("predicted_value"), "overwrite").alias("overwritten"),
+        models.merge_prediction(F.col("corrected_value"), F.col("predicted_value"), "fill").alias("filled"),
+    )

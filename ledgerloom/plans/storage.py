@@ -379,3 +379,69 @@ def snapshot_commit(spark: SparkSession, folder: str) -> DataFrame:
     )
     texts = versions.read(spark, now, "texts", documents.TEXTS)
     return invoices.select("file_path", "invoice_number", "currency", "total_amount").join(items, "file_path").join(texts, "file_path")
+
+
+def _batch_of_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members, cells and messages of documents of as many items as an order has lines.
+
+    Orders of status F come as XML, those of O as text, those of P as text with a table
+    that says more than the text; a document that says nothing comes for each customer.
+    """
+    orders = fx.orders_with_amounts(spread(table(spark, folder, "orders")))
+    price = "cast(l_extendedprice AS decimal(18,2))"
+    lines = spread(table(spark, folder, "lineitem")).selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey * 1000003 + l_suppkey AS code", "concat('Parte ', l_partkey, ' de P', l_suppkey) AS what",
+        "cast(l_quantity AS int) AS n", f"{price} AS price",
+    )
+    texts = lines.groupBy("l_orderkey").agg(
+        F.array_join(F.array_sort(F.collect_list(F.expr("concat(what, ' ', n, ' ', price)"))), "\n").alias("printed"),
+        F.array_join(F.collect_list(F.expr(fx.XML_LINE)), "").alias("xml_lines"),
+    )
+    head = f"concat('Número de factura: FV-', o_orderkey, '\nFecha: ', {fx.DATE_TEXT}, '\nTOTAL A PAGAR: $ ', total, '\n')"
+    section = "'Descripción Cantidad Valor Unitario 1\n'"
+    documents_ = orders.join(texts, orders["o_orderkey"] == texts["l_orderkey"], "left").selectExpr(
+        "o_orderkey AS doc_key",
+        f"""CASE o_orderstatus
+          WHEN 'F' THEN named_struct('member_no', 1, 'kind', 'xml', 'payload', concat(replace({fx.invoice_xml()}, '</Invoice>', ''), coalesce(xml_lines, ''), '</Invoice>'))
+          WHEN 'O' THEN named_struct('member_no', 1, 'kind', 'pdf', 'payload', concat({section}, coalesce(printed, ''), '\nSubtotal 1\n', {head}))
+          ELSE named_struct('member_no', 1, 'kind', 'pdf', 'payload', concat({section}, IF(printed IS NULL, '', 'Fantasma 9 9'), '\nSubtotal 1\n', {head})) END AS m""",
+    ).select("doc_key", "m.*")
+    silent = table(spark, folder, "customer").selectExpr("-c_custkey - 1 AS doc_key", "1 AS member_no", "'pdf' AS kind", "'nada' AS payload")
+    tabled = lines.join(orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    cells = tabled.selectExpr(
+        "l_orderkey AS doc_key", "l_linenumber AS table_no", "(code * 64 + n) * 64 + cast(price % 64 AS int) AS row_no",
+        "inline(array(named_struct('col_no', 0, 'header', 'Descripción', 'value', what), named_struct('col_no', 1, 'header', 'Cantidad', 'value', string(n)),"
+        " named_struct('col_no', 2, 'header', 'Precio Unitario', 'value', string(price))))",
+    )
+    messages = orders.selectExpr(
+        "o_orderkey AS doc_key", "concat('f/', o_orderkey) AS file_path", "'ventas@casa-norte.com' AS email_sender",
+        "IF(o_custkey % 2 = 0, concat('900.', o_custkey, '-1;EMPRESA ', o_custkey, ';', 'FV-', ';', o_orderkey), 'sin datos') AS email_subject",
+        "concat('c', o_custkey, '@example.com') AS customer_email",
+    )
+    return documents_.unionByName(silent), cells, messages
+
+
+@query("""
+WITH i AS (SELECT DISTINCT l_orderkey, 'Parte ' || l_partkey || ' de P' || l_suppkey AS description, CAST(CAST(l_quantity AS INT) AS DOUBLE) AS quantity,
+    CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS unit_price FROM lineitem)
+SELECT 'f/' || o_orderkey AS file_path, o_orderkey AS id, 'FV-' || o_orderkey AS invoice_number, o_totalprice AS total_amount,
+  CASE WHEN o_orderstatus = 'F' THEN o_orderpriority WHEN o_custkey % 2 = 0 AND 1 - levenshtein('casa norte', 'empresa ' || o_custkey) / greatest(10, length('empresa ' || o_custkey)) < 0.7
+    THEN 'EMPRESA ' || o_custkey ELSE 'Casa Norte' END AS supplier_name,
+  CASE WHEN c_custkey IS NOT NULL THEN o_custkey END AS user_id, description, quantity, unit_price,
+  CAST(CAST(quantity * CAST(unit_price AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS DOUBLE) AS line_total
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN i ON l_orderkey = o_orderkey""")
+def document_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """From members, table cells and messages to the store: every invoice with every item."""
+    members, cells, messages = _batch_of_documents(spark, folder)
+    records, items = documents.read_batch(members, "doc_key", cells, messages)
+    users = table(spark, folder, "customer").selectExpr("c_custkey AS id", "concat('c', c_custkey, '@example.com') AS email")
+    base = work_dir(spark, "document_pipeline")
+    paths = {name: f"{base}/{name}" for name in ("records", "items")}
+    records.withColumn("seq", F.col("doc_key")).drop("kind").write.parquet(paths["records"])
+    keys = spark.read.parquet(paths["records"]).select("doc_key", "file_path")
+    items.join(keys, "doc_key").drop("doc_key").write.parquet(paths["items"])
+    stored = {name: spark.read.parquet(path) for name, path in paths.items()}
+    logs = empty(spark, "field_corrections"), empty(spark, "item_corrections")
+    now = documents.commit_batch(spark, f"{base}/store", stored["records"], stored["items"], users, *logs)
+    invoices = versions.read(spark, now, "invoices", documents.INVOICES).select("file_path", "id", "invoice_number", "total_amount", "supplier_name", "user_id")
+    return store.with_items(invoices, versions.read(spark, now, "items", documents.ITEMS)).drop("item_id")
