@@ -10,7 +10,7 @@ partition's mass larger than planned, the table would grow instead). What may re
 the threshold goes to a bit field of bounded size.
 
 Pass 2 reads the texts again and counts exactly, as strings, what has its bit in
-the broadcast field. A field too full for its n-grams lets more of them through, which
+the broadcast field, again in the hash partitions. A field too full for its n-grams lets more of them through, which
 costs shuffle and changes no count.
 """
 
@@ -39,8 +39,11 @@ PART_MASS = 1 << 26
 #: Most bits of the field of survivors (a broadcast of 32 MB), and bits for each entry that can survive.
 FIELD_BITS, BITS_EACH = 1 << 28, 16
 #: N-grams (pass 1) and different phrases (pass 2) that a task gathers before it sends them on.
-GATHER, PHRASES = 1 << 22, 1 << 16
+GATHER, PHRASES = 1 << 22, 1 << 19
 UNKNOWN = "und"
+#: Most tasks of the summaries; a task works on one partition after the other.
+TASKS = 1 << 14
+COUNTED = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("count", pa.int64())])
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -213,36 +216,95 @@ def _summarise(capacity: int, bits: int, threshold: int):
 
 
 def _recount(parts: int, bits: int, field) -> object:
-    """Pass 2: (lang, n, phrase, count) of what has its bit; the words of a language come with n = 0."""
-
-    def flush(names: dict, counts: Counter) -> pa.RecordBatch:
-        rows = [(*names[k], c) for k, c in counts.items()]
-        columns = list(zip(*rows, strict=True))
-        kinds = pa.string(), pa.int32(), pa.string(), pa.int64()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["lang", "n", "phrase", "count"])
+    """Pass 2, tasks of texts: lists of (lang, n, phrase, count) of what has its bit, one row for each partition; the
+    words of a language come with n = 0."""
+
+    class Tally:
+        """Counts of numbered phrases; a phrase is read from the text when its number is first met."""
+
+        def __init__(self) -> None:
+            self.keys, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+            self.names: dict[int, tuple[str, int, str]] = {}
+
+        def places(self, keys: np.ndarray) -> np.ndarray:
+            """Where the keys stand, which are sorted and known."""
+            return np.searchsorted(self.keys, keys)
+
+        def add(self, words: Words, langs: list[str], n: int, at: np.ndarray, found: np.ndarray) -> None:
+            keys, times = np.unique(found, return_counts=True)
+            place = np.minimum(self.places(keys), max(len(self.keys) - 1, 0))
+            new = keys[self.keys[place] != keys] if len(self.keys) else keys
+            if len(new):
+                first = np.flatnonzero(np.isin(found, new))
+                ones, where = np.unique(found[first], return_index=True)
+                for key, i in zip(ones.tolist(), at[first[where]].tolist(), strict=True):
+                    self.names[key] = langs[words.rows[i]], n, words.phrase(i, n)
+                into = np.searchsorted(self.keys, new)
+                self.keys, self.counts = np.insert(self.keys, into, new), np.insert(self.counts, into, 0)
+            self.counts[self.places(keys)] += times
+
+        def rows(self) -> Iterator[pa.RecordBatch]:
+            owner = (self.keys % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(owner, kind="stable")
+            edges = np.append(np.flatnonzero(np.diff(owner[order], prepend=-1)), len(order))
+            keys = self.keys[order].tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                lang, n, phrase = zip(*(self.names[k] for k in keys[a:b]), strict=True)
+                yield listed(int(owner[order[a]]), lang, n, phrase, self.counts[order[a:b]])
+
+    def listed(part: int, *columns) -> pa.RecordBatch:
+        lists = [pa.array([pa.array(c, f.type)], pa.list_(f.type)) for c, f in zip(columns, COUNTED, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *lists], names=["part", *COUNTED.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(field.value, np.uint8)
-        names, counts = {}, Counter()
+        tally, totals = Tally(), Counter()
         for batch in batches:
             langs, seeds = _languages(batch.column(1))
             for words in words_of(batch.column(0)):
                 for row, n in zip(*np.unique(words.rows[words.repeated :], return_counts=True), strict=True):
-                    names.setdefault(langs[row], (langs[row], 0, ""))
-                    counts[langs[row]] += int(n)
+                    totals[langs[row]] += int(n)
                 for n, at, found in grams(words, seeds):
                     place = (found % np.uint64(parts)).astype(np.int64) * bits + ((found >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
                     hit = np.flatnonzero(data[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
-                    keys, firsts, times = np.unique(found[hit], return_index=True, return_counts=True)
-                    for key, i, c in zip(keys.tolist(), at[hit[firsts]], times.tolist(), strict=True):
-                        if key not in names:
-                            names[key] = langs[words.rows[i]], n, words.phrase(i, n)
-                        counts[key] += c
-                if len(names) >= PHRASES:
-                    yield flush(names, counts)
-                    names, counts = {}, Counter()
-        if names:
-            yield flush(names, counts)
+                    tally.add(words, langs, n, at[hit], found[hit])
+                if len(tally.keys) >= PHRASES:
+                    yield from tally.rows()
+                    tally = Tally()
+        yield from tally.rows()
+        if totals:
+            yield listed(0, list(totals), [0] * len(totals), [""] * len(totals), list(totals.values()))
+
+    return run
+
+
+def _total(least: int):
+    """Pass 2, tasks of partitions: the sums of one partition after the other, which hold its survivors only."""
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        whole = pa.concat_tables(tables).group_by(["lang", "n", "phrase"]).aggregate([("count", "sum")])
+        return whole.rename_columns(COUNTED.names).cast(COUNTED)
+
+    def kept(tables: list[pa.Table]) -> list[pa.RecordBatch]:
+        whole = summed(tables)
+        return whole.filter(pc.or_(pc.greater_equal(whole["count"], least), pc.equal(whole["n"], 0))).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, tables, held, before = None, [], 0, 0
+        for batch in batches:
+            for i, owner in enumerate(batch.column(0).to_pylist()):
+                if owner != part and tables:
+                    yield from kept(tables)
+                    tables, held, before = [], 0, 0
+                part = owner
+                lists = [batch.column(c).slice(i, 1).flatten() for c in range(1, 5)]
+                tables.append(pa.table(lists, schema=COUNTED))
+                held += len(lists[0])
+                if held >= 2 * before + PHRASES:
+                    tables = [summed(tables)]
+                    held = before = tables[0].num_rows
+        if tables:
+            yield from kept(tables)
 
     return run
 
@@ -270,16 +332,16 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, part_mass: int = PART_
     bits = max(8, min(field_bits // parts, BITS_EACH * capacity) // 8 * 8)
 
     sent = texts.mapInArrow(_send(parts), "part long, steps binary, counts binary")
-    tasks = min(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    apart = sent.repartition(tasks, "part").sortWithinPartitions("part")
+    apart = sent.repartition(min(parts, TASKS), "part").sortWithinPartitions("part")
     fields = staged(apart.mapInArrow(_summarise(capacity, bits, least), "part long, bits binary"), "survivors")
     whole = bytearray(parts * bits // 8)
     for row in fields.collect():  # field_bits in all, a byte for each partition at least
         whole[row.part * bits // 8 : (row.part + 1) * bits // 8] = row.bits
     field = spark.sparkContext.broadcast(bytes(whole))
 
-    counted = texts.mapInArrow(_recount(parts, bits, field), "lang string, n int, phrase string, count long")
-    return counted.groupBy("lang", "n", "phrase").agg(F.sum("count").alias("count")).where((F.col("count") >= least) | (F.col("n") == 0))
+    counted = texts.mapInArrow(_recount(parts, bits, field), "part long, lang array<string>, n array<int>, phrase array<string>, count array<long>")
+    apart = counted.repartition(min(parts, TASKS), "part").sortWithinPartitions("part")
+    return apart.mapInArrow(_total(least), "lang string, n int, phrase string, count long")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST, part_mass: int = PART_MASS) -> DataFrame:
