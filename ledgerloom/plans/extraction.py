@@ -43,17 +43,17 @@ def header_extract(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumns({"issue_date": day("issue_date"), "due_date": day("due_date")})
 
 
-@query("""SELECT o_orderkey, 'dato ' || o_custkey AS custom_field, 'FV' || o_orderkey AS invoice_number FROM orders""")
+@query("""SELECT o_orderkey, 'muelle ' || o_custkey AS delivery_dock, 'FV' || o_orderkey AS invoice_number FROM orders""")
 def custom_pattern(spark: SparkSession, folder: str) -> DataFrame:
     docs = spread(table(spark, folder, "orders")).selectExpr(
-        "o_orderkey", "concat('Texto. Ref: FV', o_orderkey, ' Factura 77. Custom Value: dato ', o_custkey) AS text"
+        "o_orderkey", "concat('Texto. Ref: FV', o_orderkey, ' Factura 77. Entregar en <muelle ', o_custkey, '>') AS text"
     )
     out = extract_header(
         docs,
         learned={"invoice_number": r"(?iu)ref:\s*(\w+)"},
-        custom={"custom_field": r"Custom Value:\s*(.+)"},
+        custom={"delivery_dock": r"(?iu)entregar\s+en\s+<([^>]+)>"},
     )
-    return out.select("o_orderkey", "custom_field", "invoice_number")
+    return out.select("o_orderkey", "delivery_dock", "invoice_number")
 
 
 _ROUNDED = """CAST(CAST(CAST(l_quantity AS DECIMAL(18,2)) * CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS DOUBLE)"""
