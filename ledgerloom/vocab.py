@@ -149,3 +149,6 @@ LEARN_THRESHOLD = 5
 PATTERN_FIELDS = ["invoice_number"]
 TERM_FIELDS = ["supplier_name", "customer_name", "supplier_tax_id", "customer_tax_id"]
 SIMILARITY_THRESHOLD = 0.7
+
+#: Fixed shape of a learned term that is a tax id.
+TERM_TAX_ID = r"^\d{5,20}-?\d+$"
