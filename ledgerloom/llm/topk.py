@@ -1,14 +1,15 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-The dimensions are dealt to a few parts; a part's list ranks all candidates of a
-query by their share of the inner product. Phase 1 gathers the heads of all lists,
-completes their scores and takes the k-th best as cutoff. A candidate that stays
-below cutoff / parts in every list cannot reach the cutoff, so phase 2 collects
-only entries at or above that uniform threshold; phase 3 drops those whose upper
-bound is below the cutoff and completes the scores of the rest exactly.
-
-Queries and candidates meet in blocks of bounded size. Blocks, not rows, are
-joined, and a block of candidates is repeated once for each block of queries.
+The dimensions are dealt to a few parts; a part's list ranks candidates by their share
+of a query's inner product, and a cell (a group of queries, a group of candidates) has
+its local lists. Phase 1 gathers the heads of all lists, completes their scores and
+takes each query's k-th best as cutoff. A candidate below cutoff / parts in every list
+cannot reach the cutoff, so phase 2, to which the cutoffs travel with their queries,
+collects only entries at or above that uniform threshold. Phase 3 looks up what is
+missing of these entries in the other lists, and of no others, and keeps the k best.
+
+The lists are products of matrices and are made in both passes, as keeping them would
+keep all pairs; no score but those of heads and collected entries is put together.
 """
 
 from __future__ import annotations
@@ -17,21 +18,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import cells
 from ledgerloom.llm.common import staged, table
 from ledgerloom.llm.registry import query
 
 K = 20
-PARTS = 4
-#: Most rows of a block of queries, and of candidates.
-QUERY_BLOCK = 512
-CANDIDATE_BLOCK = 4096
+#: Lists of a query. With more of them the threshold falls and more entries are collected.
+PARTS = 2
+#: Queries and candidates of a tile, for which the lists are in memory at once.
+TILE = (512, 8192)
 SCALE = 64
 
-BLOCK = "block long, ids array<long>, dims int, data binary"
+CODED = "vec_id long, asked boolean, dims int, data binary"
+FOUND = "query_id long, vec_id long, score long"
 
 
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -41,108 +45,82 @@ def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return vectors.withColumn("_v", doubles).where(F.col("vec_id").isNotNull() & F.col("_v").isNotNull() & fine)
 
 
-def blocks(rows: DataFrame, most: int) -> DataFrame:
-    """Pack (vec_id, _v) into blocks of at most ``most`` rows: ids and floor(64 x) as doubles.
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """floor(64 x) of every component, in the smallest type that holds the vector."""
+    for batch in batches:
+        rows = [cells.pack(np.floor(np.array(v, dtype=np.float64) * SCALE)) for v in batch.column("_v").to_pylist()]
+        dims = pa.compute.list_value_length(batch.column("_v")).cast(pa.int32())
+        columns = [batch.column("vec_id"), batch.column("asked"), dims, pa.array(rows, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "asked", "dims", "data"])
 
-    Shorter vectors count as padded with zeros. A block has a number of its own.
-    """
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for at in range(0, batch.num_rows, most):
-                part = batch.slice(at, most)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                lists = part.column(1)
-                lengths = np.diff(lists.offsets.to_numpy())
-                dims = int(lengths.max(initial=0))
-                data = np.zeros((len(ids), dims))
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                data[np.arange(dims) < lengths[:, None]] = np.floor(flat * SCALE)
-                yield pa.RecordBatch.from_pydict(
-                    {"block": [number], "ids": [ids], "dims": [dims], "data": [data.tobytes()]},
-                    schema=pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("dims", pa.int32()), ("data", pa.binary())]),
-                )
-                number += 1
-
-    return rows.select("vec_id", "_v").mapInArrow(pack, BLOCK)
-
-
-def _matrix(rows: int, dims: int, data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((rows, width))
-    out[:, :dims] = np.frombuffer(data, np.float64).reshape(rows, dims)
-    return out
-
-
-def _shares(q: np.ndarray, c: np.ndarray, parts: int) -> list[np.ndarray]:
-    """Each part's share of all inner products, exact: in doubles while these hold
+def _lists(q: np.ndarray, c: np.ndarray, parts: int) -> list[np.ndarray]:
+    """Each part's share of all inner products, exact: in floating point while that holds
     the integers, else in Python integers, which must fit in a long at the end."""
     cuts = np.linspace(0, q.shape[1], parts + 1).astype(int)
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(q.shape[1], 1)
     if bound < 2.0**53:
+        q, c = (m.astype(np.float32 if bound < 2.0**24 else np.float64, copy=False) for m in (q, c))
         return [q[:, a:b] @ c[:, a:b].T for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     q, c = (np.array([int(x) for x in m.ravel()], dtype=object).reshape(m.shape) for m in (q, c))
     zero = np.zeros((len(q), len(c)), dtype=object)
     return [(q[:, a:b] @ c[:, a:b].T if b > a else zero).astype(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _heads(shares: list[np.ndarray], total: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each query's k best complete scores among the heads of its lists."""
-    n = total.shape[1]
-    if n > k:
-        lists = [np.argpartition(np.where(own, -np.inf, x.astype(float)), n - k, axis=1)[:, n - k :] for x in shares]
-        seen = np.sort(np.concatenate(lists, axis=1), axis=1)
-    else:
-        seen = np.broadcast_to(np.arange(n), total.shape)
-    known = np.take_along_axis(total, seen, axis=1).astype(float)
-    known[np.take_along_axis(own, seen, axis=1)] = -np.inf
-    known[:, 1:][seen[:, 1:] == seen[:, :-1]] = -np.inf  # in several lists
-    if seen.shape[1] > k:
-        top = np.argpartition(known, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k :]
-        seen, known = np.take_along_axis(seen, top, axis=1), np.take_along_axis(known, top, axis=1)
-    row, at = np.nonzero(known > -np.inf)
-    return row, seen[row, at]
-
-
-def _resolved(shares: list[np.ndarray], total: np.ndarray, own: np.ndarray, levels: list[int | None], ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each query's best entries at or above its cutoff, k at most."""
-    open_rows = np.array([x is None for x in levels], dtype=bool)
-    level = np.array([x or 0 for x in levels], dtype=total.dtype)[:, None]
-    each = -(-level // len(shares))  # integers: a share reaches level / parts if it reaches this
-    seen = [x >= each for x in shares]
-    entries = np.logical_or.reduce(seen)
-    bound = sum(np.where(z, x, each) for z, x in zip(seen, shares, strict=True))
-    wanted = (entries & (bound >= level) & (total >= level)) | open_rows[:, None]
-    row, at = np.nonzero(wanted & ~own)
-    order = np.lexsort((ids[at], -total[row, at], row))
-    row, at = row[order], at[order]
-    rank = np.arange(len(row)) - np.searchsorted(row, row)
-    return row[rank < k], at[rank < k]
-
-
-def _meet(parts: int, k: int, resolve: bool):
-    """Work on pairs of blocks: phase 1, or with the cutoffs phases 2 and 3."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (row,) = batch.slice(i, 1).to_pylist()
-                width = max(row["q_dims"], row["c_dims"], 1)
-                q_ids, c_ids = (np.array(row[x], dtype=np.int64) for x in ("q_ids", "c_ids"))
-                q = _matrix(len(q_ids), row["q_dims"], row["q_data"], width)
-                c = _matrix(len(c_ids), row["c_dims"], row["c_data"], width)
-                shares = _shares(q, c, parts)
-                total = sum(shares)
-                own = q_ids[:, None] == c_ids[None, :]
+def heads(lists: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of what is among the k first of any list of its row, once each."""
+    rows, n = lists[0].shape
+    if n <= k:
+        return tuple(x.ravel() for x in np.indices((rows, n)))
+    tops = [np.argpartition(x, n - k, axis=1)[:, n - k :] for x in lists]
+    places = np.unique(np.concatenate([(np.arange(rows)[:, None] * n + t).ravel() for t in tops]))
+    return places // n, places % n
+
+
+def collected(lists: list[np.ndarray], level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the entries that reach the uniform threshold in any list of their row."""
+    each = -(-level // len(lists))  # shares are integers: one reaches level / parts if it reaches this
+    if lists[0].dtype.kind == "f":
+        # Beyond all shares the comparison is decided either way, so it may be cut to what the type holds.
+        edge = 2.0**24 if lists[0].dtype == np.float32 else 2.0**53
+        each = np.clip(each, -edge, edge).astype(lists[0].dtype)
+    return np.nonzero(np.logical_or.reduce([x >= each[:, None] for x in lists]))
+
+
+def completed(lists: list[np.ndarray], row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Scores of the given entries from their shares in all lists."""
+    return sum(x[row, at].astype(np.int64) for x in lists)
+
+
+def _search(parts: int, k: int, resolve: bool):
+    """Work on a cell: phase 1, or with the cutoffs phases 2 and 3; at most k entries of each query."""
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        width = max(cells.width_of(asked), cells.width_of(held), 1)
+        q = cells.vectors(asked, "data", width)
+        q_ids, c_ids = (cells.number_column(x, "vec_id") for x in (asked, held))
+        level = cells.number_column(asked, "cutoff") if resolve else None
+        best = [np.empty(0, np.int64)] * 3
+        for hi in range(0, held.num_rows, TILE[1]):
+            c, ids = cells.vectors(held.slice(hi, TILE[1]), "data", width), c_ids[hi : hi + TILE[1]]
+            found = [best]
+            for lo in range(0, len(q), TILE[0]):
+                a = slice(lo, lo + TILE[0])
+                lists = _lists(q[a], c, parts)
+                # One more head than k, as the query's own row tends to be the first of all.
+                row, at = collected(lists, level[a]) if resolve else heads(lists, k + 1)
+                score, row = completed(lists, row, at), row + lo
+                fine = q_ids[row] != ids[at]
                 if resolve:
-                    cut = {x["query_id"]: x["score"] for x in row["cuts"] or []}
-                    at = _resolved(shares, total, own, [cut.get(int(x)) for x in q_ids], c_ids, k)
-                else:
-                    at = _heads(shares, total, own, k)
-                columns = q_ids[at[0]], c_ids[at[1]], total[at].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["query_id", "vec_id", "score"])
+                    fine &= score >= level[row]
+                row, at, score = row[fine], at[fine], score[fine]
+                own = cells.by_row(row, score, ids[at], k)
+                found.append([row[own], ids[at[own]], score[own]])
+            row, vec_id, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            own = cells.by_row(row, score, vec_id, k)
+            best = [row[own], vec_id[own], score[own]]
+        row, vec_id, score = best
+        return pa.table([pa.array(x, pa.int64()) for x in (q_ids[row], vec_id, score)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -157,31 +135,22 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, parts: int = PA
     id, take no part; empty tables give no rows. With fewer than k candidates all
     are returned. Vectors of different lengths meet as if padded with zeros.
     """
-    asked = staged(blocks(usable(queries).dropDuplicates(["vec_id"]), QUERY_BLOCK), "queries")
-    held = staged(blocks(usable(candidates), CANDIDATE_BLOCK), "candidates")
-    # Every block of candidates is sent once to every group of query blocks.
-    groups = max(asked.count(), 1)
-    names = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("ids", "dims", "data")]
-    sent = held.select(*names("c"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("to"))
-    group = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("group")
-    fields = ["q_ids", "q_dims", "q_data", "c_ids", "c_dims", "c_data"]
-    schema = "query_id long, vec_id long, score long"
+    def side(rows: DataFrame, asked: bool) -> DataFrame:
+        return usable(rows).select("vec_id", F.lit(asked).alias("asked"), "_v")
+
+    both = side(queries, True).dropDuplicates(["vec_id"]).unionByName(side(candidates, False))
+    rows = cells.numbered(both.mapInArrow(_coded, CODED), "coded")
+    counts = {r.asked: r["count"] for r in rows.groupBy("asked").count().collect()}
+    asked, held = rows.where("asked"), rows.where("NOT asked")
+    sizes = counts.get(True, 0), counts.get(False, 0)
     ranked = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
 
-    pairs = sent.join(asked.select(*names("q"), group), F.col("to") == F.col("group"))
-    heads = pairs.select(*fields).mapInArrow(_meet(parts, k, resolve=False), schema)
-    kth = heads.withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= k).where(F.col("_n") == k)
-    kth = staged(kth.select("query_id", "score"), "cutoffs")
-
-    cuts = (
-        asked.select("block", F.explode("ids").alias("query_id"))
-        .join(kth, "query_id")
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("query_id", "score")).alias("cuts"))  # at most a block's queries
-    )
-    cut = asked.join(cuts, "block", "left").select(*names("q"), group, "cuts")
-    pairs = sent.join(cut, F.col("to") == F.col("group"))
-    best = pairs.select(*fields, "cuts").mapInArrow(_meet(parts, k, resolve=True), schema)
+    first = cells.meet(asked, held, _search(parts, k, resolve=False), FOUND, *sizes)
+    kth = first.withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= k).where(F.col("_n") == k)
+    kth = staged(kth.select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff")), "cutoffs")
+    # Without a cutoff too few heads are known, and every score counts.
+    with_cut = asked.join(kth, "vec_id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(1 - (1 << 63))))
+    best = cells.meet(with_cut, held, _search(parts, k, resolve=True), FOUND, *sizes)
     rank = F.row_number().over(ranked).alias("rank")
     return best.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm import (
-    components, decontamination, hashing, html_text, language_id, license_scan, mixing, near_dup, pii, sharding, topk, url_filter,
+    cells, components, decontamination, hashing, html_text, language_id, license_scan, mixing, near_dup, pii, sharding, topk, url_filter,
 )
 
 NAMES = "doc_id long, text string, lang string, source string, n_chars long, _words string, size string, score string, key string, shard string, id string, a string"
@@ -416,6 +416,38 @@ def test_top_k_large_numbers(spark):
     assert [(r.vec_id, r.score) for r in got] == [(1, 2**62 + 3 * 4096), (2, 2**62 + 2 * 4096)]
 
 
+def test_top_k_completes_collected_scores_only(spark, small):
+    """The thresholds decide: below all pairs are completed, and what is left out is below the cutoff."""
+    data = np.array([r[0] for r in topk.usable(spark.read.parquet(f"{small}/embeddings.parquet")).select("_v").collect()])
+    data = np.floor(data * topk.SCALE)
+    total = data @ data.T
+    cutoff = np.sort(total, axis=1)[:, -topk.K].astype(np.int64)
+    lists = topk._lists(data, data, topk.PARTS)
+    row, at = topk.collected(lists, cutoff)
+    assert (topk.completed(lists, row, at) == total[row, at]).all() and 0 < len(row) < 0.5 * total.size
+    left = np.ones(total.shape, dtype=bool)
+    left[row, at] = False
+    assert (total < cutoff[:, None])[left].all()
+    row, at = topk.heads(lists, topk.K)
+    assert len(row) <= topk.PARTS * topk.K * len(data) and len(set(zip(row, at, strict=True))) == len(row)
+
+
+def test_top_k_in_many_cells(spark, monkeypatch):
+    """Small cells, negative scores, ties, repeated rows and repeated queries, against brute force."""
+    monkeypatch.setattr(cells, "ASKED", 7)
+    monkeypatch.setattr(cells, "HELD", 40)
+    monkeypatch.setattr(cells, "FEWEST", 16)
+    rng = np.random.default_rng(9)
+    data = np.vstack([-np.abs(rng.integers(-3, 4, size=(120, 5))) / 2, rng.integers(-3, 4, size=(80, 5)) / 2])
+    ids = [*range(200), *range(0, 200, 8)]
+    df = spark.createDataFrame([(i, [float(x) for x in data[i]]) for i in ids], "vec_id long, embedding array<float>")
+    got = topk.top_k(df.where("vec_id % 10 = 0"), df, k=6, parts=3).collect()
+    ints = np.floor(data * 64).astype(int)
+    for q in range(0, 200, 10):
+        best = sorted((-int(ints[i] @ ints[q]), i) for i in ids if i != q)[:6]
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == best
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_pipeline_stages_take_messy_tables(spark, small, messy, empty, stage):
     name, run = corpus_pipeline.STAGES[stage]
