@@ -13,13 +13,18 @@ from ledgerloom.llm.decontamination import mark_leaks
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Texts whose best language has a mean probability below this are rejected.
-LEAST_SURE = 0.35
+#: Texts whose words are, in the mean, no surer of any language than this are rejected:
+#: 0 is a guess among the languages, 1 certainty. A text in several languages is sure of each word's.
+LEAST_SURE = 0.2
 
 
 def _aside(docs: DataFrame, added: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Apply ``work``, and give its rows with the columns of ``docs``, also those named as what it adds."""
-    own = {c: f"own_{c}" for c in docs.columns if c.lower() in added}
+    taken = {c.lower() for c in docs.columns}
+    free = "own_"
+    while any(c.startswith(free) for c in taken):
+        free += "_"
+    own = {c: f"{free}{c}" for c in docs.columns if c.lower() in added}
     done = work(docs.withColumnsRenamed(own))
     return done.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
@@ -27,8 +32,8 @@ def _aside(docs: DataFrame, added: tuple[str, ...], work: Callable[[DataFrame],
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Drop documents without a recognisable language; the field is fitted on the labelled ones."""
     model = language_id.train(docs)
-    sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SURE)
-    return _aside(docs, ("lang_pred", "score"), lambda own: language_id.identify(own, model).where(sure))
+    sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("certainty") >= LEAST_SURE)
+    return _aside(docs, language_id.FOUND, lambda own: language_id.identify(own, model).where(sure))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -24,11 +24,14 @@ from ledgerloom.llm.hashing import PIECE, word_spans
 from ledgerloom.llm.registry import query
 
 #: The field is fitted on at most so many labelled texts, the same number for each
-#: language, of at most so many characters each.
+#: language; of a longer text so many characters are learned from.
 SAMPLE = 800
 SAMPLE_CHARS = 20_000
-#: Words labelled as one chain; a longer text is several chains, all of its words count.
-RUN = 128
+#: Words labelled at once. In a longer text each run is labelled within the chain of this
+#: run and so many words on either side, whose own labels come from their own runs: what
+#: stands farther off no longer moves a marginal.
+RUN = 256
+MARGIN = 32
 BUCKETS = 1 << 16
 #: Times a word must stand in the sample to be in the lexicon.
 LEXICON_COUNT = 3
@@ -36,6 +39,8 @@ STEPS = 40
 RATE = 0.1
 DECAY = 1e-3
 UNKNOWN = "und"
+#: Columns that a prediction adds.
+FOUND = ("lang_pred", "score", "certainty")
 
 _GAP = np.ones(256, dtype=bool)
 _GAP[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -231,18 +236,20 @@ def label_words(model: Model, data: np.ndarray, cuts: np.ndarray) -> tuple[np.nd
         return starts, stops, row, np.zeros((0, len(model.languages)))
     distinct, one, word = np.unique(numbers, return_index=True, return_inverse=True)
     scores = emissions(model, data, starts[one], stops[one], distinct)
-    # chains of at most RUN words of one row
-    first = np.searchsorted(row, row)
+    first, end = np.searchsorted(row, row), np.searchsorted(row, row, side="right")
     new = np.flatnonzero((np.arange(len(row)) - first) % RUN == 0)
-    size = np.diff(np.append(new, len(row)))
+    stop = np.append(new[1:], len(row))
+    begin, size = np.maximum(first[new], new - MARGIN), np.minimum(end[new], stop + MARGIN)
+    size -= begin
     out = np.empty((len(row), len(model.languages)))
     order = np.argsort(size, kind="stable")
     for group in np.array_split(order, max(1, len(order) // 256)):  # chains of about the same size
         longest = int(size[group].max(initial=0))
-        places = new[group, None] + np.arange(longest)
+        places = begin[group, None] + np.arange(longest)
         real = np.arange(longest) < size[group, None]
         chain = np.where(real[:, :, None], scores[word[np.minimum(places, len(row) - 1)]], -np.inf)
-        out[places[real]] = _marginals(chain, model)[real]
+        own = (places >= new[group, None]) & (places < stop[group, None])
+        out[places[own]] = _marginals(chain, model)[own]
     return starts, stops, row, out
 
 
@@ -273,8 +280,13 @@ def _marginals(scores: np.ndarray, model: Model) -> np.ndarray:
 
 
 def predict(model: Model, texts: pa.Array) -> pa.Array:
-    """(lang_pred, score) of each text."""
+    """(lang_pred, score, certainty) of each text.
+
+    ``score`` is the mean probability of the text's language, ``certainty`` how far the mean
+    probability of each word's own best language is above a guess (0) towards sure (1).
+    """
     n = len(model.languages)
+    sure = np.zeros(len(texts))
     total, count = np.zeros((len(texts), n)), np.zeros(len(texts))
     plain = np.zeros(len(texts), dtype=bool)  # has an ASCII letter
     for data, cuts, first in pieces(texts) if n else ():
@@ -283,15 +295,18 @@ def predict(model: Model, texts: pa.Array) -> pa.Array:
             rows = len(cuts) - 1
             total[first : first + rows] += _summed(marginal, row, rows)
             count[first : first + rows] += np.bincount(row, minlength=rows)
+            sure[first : first + rows] += np.bincount(row, marginal.max(axis=1), minlength=rows)
             ascii_letters = np.concatenate(([0], np.cumsum((data >= 97) & (data <= 122))))
             plain[first : first + rows] |= ascii_letters[cuts[1:]] > ascii_letters[cuts[:-1]]
-    names, scores = [], []
+    names, scores, certain = [], [], []
     for i in range(len(texts)):
         lettered = count[i] > 0 and n > 0 and (plain[i] or any(map(str.isalpha, texts[i].as_py())))
         best = int(np.argmax(total[i])) if lettered else -1
         names.append(model.languages[best] if lettered else UNKNOWN)
         scores.append(float(min(1.0, total[i, best] / count[i])) if lettered else 0.0)
-    return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+        above = (sure[i] / count[i] - 1 / n) / (1 - 1 / n) if lettered and n > 1 else float(lettered)
+        certain.append(float(min(1.0, max(0.0, above))))
+    return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(certain, pa.float64())], names=list(FOUND))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -302,11 +317,12 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on the labelled texts that are not held out, at most ``sample`` of them.
 
-    For each language the texts of smallest digest are taken; equal texts count once.
+    For each language the texts of smallest digest are taken; equal texts count once, and
+    of a text longer than SAMPLE_CHARS its first so many characters.
     """
     learned = docs.where(
-        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS)
-    )
+        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
+    ).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
     keyed = learned.select("lang", F.xxhash64("text").alias("digest"), "text")
     # The digests of each language are thinned to the share that gives the wanted number.
     sizes = {r.lang: r.n for r in keyed.groupBy("lang").agg(F.approx_count_distinct("digest", 0.02).alias("n")).collect()}
@@ -323,20 +339,20 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 @keeps_names
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score added (replacing such columns).
+    """``docs`` with lang_pred, score and certainty added (replacing such columns).
 
     ``und`` with score 0 for null and empty texts and those without a letter, and for
     all texts if the model knows no language. Equal texts have equal results.
     """
-    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kind = T.StructType([T.StructField(c, T.StringType() if c == "lang_pred" else T.DoubleType()) for c in FOUND])
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield predict(model, batch)
 
-    keep = [f"`{c}`" for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return docs.select(*keep, run(F.col(text)).alias("_found")).select(*keep, "_found.lang_pred", "_found.score")
+    keep = [f"`{c}`" for c in docs.columns if c.lower() not in FOUND]
+    return docs.select(*keep, run(F.col(text)).alias("_found")).select(*keep, "_found.*")
 
 
 @query()

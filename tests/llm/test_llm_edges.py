@@ -342,6 +342,42 @@ def test_code_switched_words_have_their_own_language():
     assert np.allclose(marginal.sum(axis=1), 1)
 
 
+def test_runs_of_a_long_text_are_labelled_as_one_chain(monkeypatch):
+    model = language_id.fit([(lang, t) for _, t, lang in LANGS])
+    rng = np.random.default_rng(5)
+    words = "the cat dog house that thing der hund die katze haus nicht zzz q".split()
+    text = " ".join(rng.choice(words, 1500)).encode()
+    data, cuts = np.frombuffer(text + text[:400], np.uint8), np.array([0, len(text), len(text) + 400])
+    in_runs = language_id.label_words(model, data, cuts)[3]
+    monkeypatch.setattr(language_id, "RUN", 1 << 20)
+    assert np.allclose(in_runs, language_id.label_words(model, data, cuts)[3], atol=1e-6)
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    long = {"en": "the cat and the dog were in the house ", "de": "der hund und die katze waren nicht im haus "}
+    rows = [(i, t * 800, lang) for i in range(12) for lang, t in long.items()]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en"] and all(len(t) * 800 > language_id.SAMPLE_CHARS for t in long.values())
+    assert language_id.predict(model, pa.array(["der hund", "the dog"])).field(0).to_pylist() == ["de", "en"]
+
+
+def test_texts_in_several_languages_are_sure():
+    third = ("le chat et le chien sont dans la maison avec cette chose", "fr")
+    texts = [(lang, t) for _, t, lang in LANGS] + [(third[1], third[0])] * 30
+    mixed = " ".join(dict.fromkeys(t for _, t in texts))
+    _, score, certainty = language_id.predict(language_id.fit(texts), pa.array([mixed, "12 34", None])).flatten()
+    assert score[0].as_py() < 0.5 and certainty[0].as_py() > 0.8 and certainty.to_pylist()[1:] == [0.0, 0.0]
+    alone = language_id.predict(language_id.fit([("en", "the cat")]), pa.array(["the cat", "12"]))
+    assert alone.field(2).to_pylist() == [1.0, 0.0]
+
+
+def test_columns_named_like_those_put_aside(spark, small):
+    rows = [(i, PROSE, "en", "s", 1, "a", "b") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size int, own_size string, own__size string")
+    out = corpus_pipeline.mix_sources(spark, df, small)
+    assert out.columns == df.columns and {(r["size"], r.own_size, r.own__size) for r in out.collect()} == {(1, "a", "b")}
+
+
 def test_forward_backward_against_all_paths():
     from itertools import product
 
