@@ -2,7 +2,8 @@
 
 Every template is a run of words. How rare each licence word is comes from all
 scanned files; the rarest words of a template are its postings. A file's words
-that have postings propose (template, start); the proposal is kept if all words of
+that have postings tell (template, start); a start that all postings of the template
+tell is a proposal, and the others meet no further test. It is kept if all words of
 the template's mandatory key phrase stand at their relative positions and enough
 of its words, weighed by rarity, agree there.
 """
@@ -10,7 +11,9 @@ of its words, weighed by rarity, agree there.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,18 +33,74 @@ class Template:
     key: str  # words that must stand in the file, a run of words of ``text``
     base: bool = False
 
-    @property
+    @cached_property
     def words(self) -> list[str]:
-        return self.text.split()
+        return re.findall(WORD, self.text.lower())
 
-    @property
+    @cached_property
     def key_span(self) -> range:
-        words, key = self.words, self.key.split()
+        words, key = self.words, re.findall(WORD, self.key.lower())
         at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
         return range(at, at + len(key))
 
 
-# Phrases of public licences and the labels they stand for.
+# Whole texts of public licences, without their copyright lines.
+_MIT = """
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
+to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions
+of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+IN THE SOFTWARE.
+"""
+_BSD_CLAUSES = """
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_THIRD = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.
+"""
+_BSD_DISCLAIMER = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING
+IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+_ISC = """
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
+ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL,
+DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
+USE OR PERFORMANCE OF THIS SOFTWARE.
+"""
+_ZLIB = """
+This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to
+alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+software. If you use this software in a product, an acknowledgment in the product documentation would be
+appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
+software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+# Phrases and texts of public licences and the labels they stand for.
 TEMPLATES = (
     Template("mit", "mit license", "mit license", base=True),
     Template("apache", "apache license", "apache license", base=True),
@@ -59,6 +118,11 @@ TEMPLATES = (
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "for any purpose with or without fee is hereby granted"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
+    Template("mit-full", _MIT, "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    Template("bsd-2-clause", _BSD_CLAUSES + _BSD_DISCLAIMER, "redistributions of source code must retain the above copyright notice"),
+    Template("bsd-3-clause", _BSD_CLAUSES + _BSD_THIRD + _BSD_DISCLAIMER, "contributors may be used to endorse or promote products derived from this software"),
+    Template("isc-full", _ISC, "for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    Template("zlib", _ZLIB, "the origin of this software must not be misrepresented"),
 )
 #: Postings of a template: the so many rarest words of its key phrase, all of which stand wherever it is found.
 POSTINGS = 3
@@ -84,7 +148,7 @@ def rarity(files: DataFrame, text: str = "text") -> dict[str, float]:
 
 
 def rarest(t: Template, idf: dict[str, float]) -> list[str]:
-    return sorted(set(t.key.split()), key=lambda w: (-idf[w], w))[:POSTINGS]
+    return sorted({t.words[p] for p in t.key_span}, key=lambda w: (-idf[w], w))[:POSTINGS]
 
 
 def _struct(fields: dict[str, object]) -> str:
@@ -115,29 +179,31 @@ def scan(files: DataFrame, text: str = "text", idf: dict[str, float] | None = No
     of_words = F.expr(
         "array(" + ", ".join(
             "array(" + ", ".join(
-                _struct({"p": p, "w": w, "i": idf[w] / sum(idf[x] for x in t.words), "must": int(p in t.key_span)}) for p, w in enumerate(t.words)
-            ) + ")" for t in TEMPLATES
+                _struct({"p": p, "w": w, "i": idf[w] / total, "must": int(p in t.key_span)}) for p, w in enumerate(t.words)
+            ) + ")" for t in TEMPLATES for total in [sum(idf[x] for x in t.words)]
         ) + ")"
     )
     label = F.array(*[F.lit(t.label) for t in TEMPLATES])
     is_base = F.array(*[F.lit(t.base) for t in TEMPLATES])
 
     words = select_once(files.select(*keep), keep, [words_of(F.col(text)).alias("_words")])
-    # Positions of words with postings, then proposals as start * templates + template.
+    # Positions of words with postings, then what they tell as start * templates + template.
     n = len(TEMPLATES)
     size = F.size("_words")
     places = F.when(size > 0, F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get("_words", i).isin(*postings))).otherwise(
         F.array().cast("array<int>")
     )
     hits = select_once(words, [*keep, "_words"], [places.alias("_places")])
-    proposed = F.array_distinct(
-        F.flatten(
-            F.transform(
-                "_places",
-                lambda i: F.transform(F.element_at(index, F.get("_words", i)), lambda x: ((i - x["p"]) * n + x["k"]).cast("long")),
-            )
+    told = F.flatten(
+        F.transform(
+            "_places",
+            lambda i: F.transform(F.element_at(index, F.get("_words", i)), lambda x: ((i - x["p"]) * n + x["k"]).cast("long")),
         )
     )
+    hits = select_once(hits, [*keep, "_words"], [F.sort_array(told).alias("_told")])
+    # A posting tells a start once; where all postings of a template do, the sorted starts stand so many times in a row.
+    needed = F.array(*[F.lit(sum(t.words[p] in rarest(t, idf) for p in t.key_span)) for t in TEMPLATES])
+    proposed = F.filter("_told", lambda c, i: F.get("_told", i + F.get(needed, F.pmod(c, F.lit(n)).cast("int")) - 1) == c)
     stands = lambda at, x: F.coalesce(F.get("_words", at + x["p"]) == x["w"], F.lit(False))
 
     def judged(c: Column) -> Column:

@@ -52,6 +52,30 @@ def test_license_method_labels(spark):
     assert got == [("bsd", "", 0, None), ("gpl,lgpl", "gpl", 1, 3), ("", "", 0, None), ("mit", "mit", 2, 2), ("", "", 0, None)]
 
 
+def test_license_whole_texts(spark):
+    """Whole texts are found by their key phrase and agreement, also where words in them differ."""
+    text = {t.label: t.text for t in license_scan.TEMPLATES}
+    mit = text["mit-full"]
+    texts = [
+        f"Copyright 2020 {mit}", f"see {mit.replace('HOLDERS', 'owners')} end", mit[: len(mit) // 4], mit.replace("obtaining", "getting"),
+        text["bsd-2-clause"], text["bsd-3-clause"], text["isc-full"], text["zlib"] * 2,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = license_scan.scan(df).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == [
+        "mit-full,mit-text", "mit-full,mit-text", "mit-text", "", "bsd,bsd-2-clause", "bsd,bsd-3-clause", "isc,isc-full", "zlib",
+    ]
+    assert all(r.n_base == 0 and r.base_labels == "" for r in rows)
+    assert [round(r.score, 3) == 1 for r in rows] == [True, True, True, False, True, True, True, True]
+
+
+def test_license_words_apart(spark):
+    """Postings that tell different starts are no proposal, however many there are."""
+    df = spark.createDataFrame([(0, "license general public license mit " * 2000), (1, "public license general " * 2000)], "doc_id long, text string")
+    rows = license_scan.scan(df).orderBy("doc_id").collect()
+    assert [(r.labels, r.n_base) for r in rows] == [("gpl,mit", 3999), ("gpl", 1999)]
+
+
 def test_sharding(messy, empty, spark, tmp_path):
     placed = sharding.place(messy, sharding.document_key(messy))
     got = placed.collect()
