@@ -27,8 +27,11 @@ from ledgerloom.llm.registry import query
 SIMILAR = 75
 #: Pairs less likely similar than this are not confirmed: nearly six standard errors below the bound.
 LIKELY = 0.55
-#: Most members of a block, on average.
+#: Most members of a block, on average, and most bytes of their sets (a larger set is a block of its own kind).
 BLOCK = 256
+BLOCK_BYTES = 16 << 20
+#: Copies of one text are dealt to so many keys: a class of any size is joined by many tasks.
+SALTS = 1024
 _FINGERPRINT = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
 
 
@@ -162,14 +165,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = staged(own.mapInArrow(_fingerprints, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"), "fingerprints")
-    linkable = prints.where("n_shingles > 0 and doc_id is not null")
-    classes = linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    classes = classes.select("d1", "d2", "first")
+    counts = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    linkable = prints.where(counts).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    classes = linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.collect_set("salt").alias("salts"))
+    classes = classes.where("n > 1").select("d1", "d2", "first", F.explode("salts").alias("salt"))  # a class once for each of its salts
     # a row is the first of its class unless its class has a smaller id
     members = staged(
-        prints.drop("sketch").join(classes, ["d1", "d2"], "left").select(
-            "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("rep")
-        ),
+        linkable.drop("sketch").join(classes, ["d1", "d2", "salt"], "left").select("doc_id", "n_shingles", "salt", F.coalesce("first", "doc_id").alias("rep")),
         "members",
     )
     copies = members.where("rep <> doc_id").select("doc_id").distinct()
@@ -196,21 +198,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crowded = buckets.where("size > 2").join(joined, F.col("id") == F.col("node"), "left")
     crowded = staged(crowded.select("key", "band", "size", "id", F.coalesce("component", "id").alias("component")), "crowded")
     open_keys = crowded.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).cast("int")
-    parts = crowded.join(open_keys, "key", "left_semi").join(held, "id").join(sets, "id").groupBy("key", "band", chunk.alias("chunk")).agg(
-        F.collect_list(F.struct("id", "component", "n", "sketch", "elements")).alias("block")  # BLOCK members on average
+    open_rows = staged(crowded.join(open_keys, "key", "left_semi").join(held.select("id", "n"), "id"), "open")
+    chunks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    parts = open_rows.drop("size").join(open_rows.groupBy("key").agg(chunks.alias("chunks")), "key")
+    parts = parts.join(held.select("id", "sketch"), "id").join(sets, "id")
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    parts = parts.groupBy("key", "band", "chunks", chunk.alias("chunk")).agg(
+        F.collect_list(F.struct("id", "component", "n", "sketch", "elements")).alias("block")  # BLOCK members, BLOCK_BYTES on average
     )
     parts = staged(parts, "blocks")
-    x = parts.select("key", "band", F.col("chunk").alias("cx"), F.col("block").alias("x"))
-    y = parts.select("key", F.col("chunk").alias("cy"), F.col("block").alias("y"))
-    met_blocks = x.join(y, "key").where("cx <= cy").select("band", (F.col("cx") == F.col("cy")).alias("same"), "x", "y")
+    # each pair of blocks has a key of its own
+    x = parts.select("key", "band", F.col("chunk").alias("cx"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("cy"), F.col("block").alias("x"))
+    y = parts.select("key", F.explode(F.sequence(F.lit(0), "chunk")).alias("cx"), F.col("chunk").alias("cy"), F.col("block").alias("y"))
+    met_blocks = x.join(y, ["key", "cx", "cy"]).select("band", (F.col("cx") == F.col("cy")).alias("same"), "x", "y")
     more = staged(met_blocks.mapInArrow(_apart, "a long, b long"), "more-links")
     if not more.isEmpty():
         joined = components(links.union(more))
 
-    last = members.join(joined, F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("component", "rep").alias("component_id")
-    return last.select("doc_id", "n_shingles", component).withColumn(
+    # Copies find their component by (class, salt); rows that nothing can be linked with meet in no join.
+    own_class = members.where("rep = doc_id").join(joined, F.col("rep") == F.col("node"), "left")
+    copied = members.where("rep <> doc_id")
+    places = copied.select("rep", "salt").distinct().join(joined, F.col("rep") == F.col("node")).select("rep", "salt", "component")
+    found = [
+        part.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+        for part in (own_class, copied.join(places, ["rep", "salt"], "left"))
+    ]
+    bare = prints.where(~counts).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found[0].union(found[1]).union(bare).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 

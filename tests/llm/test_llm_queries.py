@@ -169,3 +169,17 @@ def test_blocks_find_what_stars_miss(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == exact_components(rows)
     assert got[29] == 0
+
+
+def test_blocks_by_bytes_and_dealt_copies(spark, monkeypatch):
+    """Long texts that share a bucket lie in blocks of few bytes; many copies are joined by their salts."""
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(near_dup, "SALTS", 4)
+    words = [f"w{i}" for i in range(2600)]
+    rows = [(i, " ".join(words[40 * i : 40 * i + 600])) for i in range(40)]
+    rows += [(200 + i, rows[7][1]) for i in range(60)] + [(300 + i, "five words that stand alone") for i in range(60)]
+    rows += [(400, None), (401, ""), (402, " ")]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == exact_components(rows)
+    assert {got[i] for i in range(200, 260)} == {0} and {got[i] for i in range(300, 360)} == {300}
+    assert [got[i] for i in (400, 401, 402)] == [400, 401, 402]
