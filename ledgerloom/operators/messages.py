@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import contains_any, ends_with_any
 from ledgerloom.vocab import ATTACHMENT_SUFFIXES, NEWEST_PER_MAILBOX, RELEVANT_TERMS
 
 
+LEDGER = "mailbox STRING, uid BIGINT"
+
+
 def relevant(messages: DataFrame) -> DataFrame:
     """Messages whose body or subject mentions an invoice term."""
     def hit(c: str):
@@ -41,8 +45,19 @@ def unprocessed(messages: DataFrame, ledger: DataFrame) -> DataFrame:
     return messages.join(ledger.select("mailbox", "uid").distinct(), ["mailbox", "uid"], "left_anti")
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger (mailbox, uid) with all that was appended; empty before the first run."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
 def append_ledger(messages: DataFrame, path: str) -> None:
-    messages.select("mailbox", "uid").write.mode("append").parquet(path)
+    """Add messages to the ledger. A run repeated after a failure may add them twice; readers take them once."""
+    messages.select(F.col("mailbox").cast("string"), F.col("uid").cast("long")).write.mode("append").parquet(path)
 
 
 def select_messages(messages: DataFrame, ledger: DataFrame, n: int = NEWEST_PER_MAILBOX) -> DataFrame:

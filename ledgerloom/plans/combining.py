@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import combine, hints, messages as msg, quality, store
+from ledgerloom.operators.documents import staged
 from ledgerloom.operators.header import extract_header
 from ledgerloom.operators.learning import merge_patterns
 from ledgerloom.plans import fixtures as fx
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.scalars import day
-from ledgerloom.session import spread
+from ledgerloom.session import spread, work_dir
 from ledgerloom.sources import json_files, snapshots
 from ledgerloom.sources.catalog import table
 from ledgerloom.sources.files import inbox_files
@@ -298,6 +301,32 @@ def json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.select("r.event_id", "r.record.k", "r.event_type", "r.value")
 
 
+@query("""SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, event_type, value FROM events""")
+def json_file_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Nested records written as files of JSON lines and read again with a schema."""
+    path = work_dir(spark, "records")
+    record = F.from_json("props", "k BIGINT").alias("record")
+    json_files.write_json(table(spark, folder, "events").select("event_id", record, "event_type", "value"), path)
+    back = json_files.read_json(spark, path, "event_id BIGINT, record STRUCT<k: BIGINT>, event_type STRING, value DOUBLE")
+    return back.select("event_id", "record.k", "event_type", "value")
+
+
+@query("""
+SELECT 'm' || o_custkey AS mailbox, o_orderkey AS uid, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS run, 1 AS entries FROM orders""")
+def ledger_append(spark: SparkSession, folder: str) -> DataFrame:
+    """Three runs over a growing mailbox: each takes what the ledger on disk does not hold and appends it."""
+    path = work_dir(spark, "ledger")
+    sent = table(spark, folder, "orders").selectExpr("concat('m', o_custkey) AS mailbox", "o_orderkey AS uid", "o_orderstatus")
+    runs = []
+    for run, arrived in enumerate(["o_orderstatus = 'F'", "o_orderstatus IN ('F', 'O')", "true"], 1):
+        fresh = msg.unprocessed(sent.where(arrived), msg.read_ledger(spark, path))
+        # written before the ledger grows, which it is read from
+        runs.append(staged(fresh.select("mailbox", "uid", F.lit(run).alias("run")), "run"))
+        msg.append_ledger(runs[-1], path)
+    entries = msg.read_ledger(spark, path).groupBy("mailbox", "uid").agg(F.count("*").cast("int").alias("entries"))
+    return reduce(DataFrame.unionByName, runs).join(entries, ["mailbox", "uid"])
+
+
 @query("""
 SELECT o_orderkey AS id, CAST(o_orderkey AS VARCHAR) AS invoice_number, o_totalprice AS total_amount,
   CASE WHEN o_orderstatus = 'F' THEN 'USD' ELSE 'COP' END AS currency, 'f/' || o_orderkey AS file_path,

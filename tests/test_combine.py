@@ -73,9 +73,10 @@ def test_mail_stage_limits_before_filtering(spark):
 def test_ledger(spark, tmp_path):
     df = spark.createDataFrame([("m", 1), ("m", 2)], "mailbox STRING, uid INT")
     path = str(tmp_path / "ledger")
+    assert messages.unprocessed(df, messages.read_ledger(spark, path)).count() == 2
     for _ in range(2):
         messages.append_ledger(df.where("uid = 1"), path)
-    assert [r.uid for r in messages.unprocessed(df, spark.read.parquet(path)).collect()] == [2]
+    assert [r.uid for r in messages.unprocessed(df, messages.read_ledger(spark, path)).collect()] == [2]
 
 
 def test_outcomes(spark, tmp_path):
