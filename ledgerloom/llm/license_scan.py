@@ -24,6 +24,8 @@ from ledgerloom.llm.registry import query
 
 #: Words: digits, letters a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 @dataclass(frozen=True)
@@ -131,7 +133,8 @@ AGREEMENT = 0.6
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
+    # Splitting takes a tenth of the time that extracting all matches does.
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
 def rarity(files: DataFrame, text: str = "text") -> dict[str, float]:
