@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import messages
+from ledgerloom.operators import messages, terms
 from ledgerloom.operators.header import extract_header
 from ledgerloom.operators.lines import extract_lines
 from ledgerloom.plans import QUERIES
@@ -48,6 +48,20 @@ def test_tables_are_laid_out_once(spark, small):
     assert text.count("HashAggregate (") == 2 and text.count("Join") == 1
 
 
+@pytest.mark.parametrize("small_dictionary", [True, False])
+def test_texts_are_not_broadcast_to_find_terms(spark, monkeypatch, small_dictionary):
+    monkeypatch.setattr(terms, "SMALL", 2_000_000 if small_dictionary else -1)
+    docs = spark.range(4).selectExpr("id", "concat('uno dos tres ', id % 2, ' uno') AS text")
+    listed = spark.createDataFrame([("uno dos tres",), ("tres 1",), ("uno",), ("uno",), ("falta",)], "term STRING")
+    hits = terms.match_terms(docs, ["id"], listed)
+    text = plan(hits).split("\n\n\n")[0]
+    assert "BuildLeft" not in text and "LeftSemi BuildRight" not in text
+    assert text.count("BroadcastHashJoin") == (2 if small_dictionary else 0)
+    found = [(i, "uno dos tres", 1, 3) for i in range(4)] + [(i, "tres 1", 3, 2) for i in (1, 3)]
+    found += [(i, "uno", p, 1) for i in range(4) for p in (1, 5)]
+    assert sorted(map(tuple, hits.collect())) == sorted(found)
+
+
 def test_no_cross_join_anywhere(spark, small):
     skip = {
         "stream_upsert", "stream_dedup", "stream_dedup_watermark", "stream_learn", "stream_learn_incremental", "stream_ingest_fold",
