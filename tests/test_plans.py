@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import messages, terms
+from ledgerloom.functions import amounts
+from ledgerloom.operators import features, messages, terms
 from ledgerloom.operators.header import extract_header
 from ledgerloom.operators.lines import extract_lines
 from ledgerloom.plans import QUERIES
@@ -71,3 +72,24 @@ def test_no_cross_join_anywhere(spark, small):
         if name not in skip:
             text = plan(query(spark, small))
             assert "CartesianProduct" not in text and "NestedLoopJoin" not in text, name
+
+
+def test_words_are_counted_where_their_document_is(spark):
+    docs = spark.createDataFrame([(1, "uno dos uno"), (1, "dos tres"), (None, "uno"), (2, None)], "id INT, text STRING")
+    counted = features.term_counts(docs, "id")
+    assert plan(counted).split("\n\n\n")[0].count("Exchange (") == 1
+    assert sorted(map(str, counted.collect())) == sorted(
+        f"Row(id={i}, token='{t}', tf={n})" for i, t, n in [(1, "uno", 2), (1, "dos", 2), (1, "tres", 1), (None, "uno", 1)]
+    )
+
+
+def test_usual_amounts_meet_no_pattern(spark):
+    shapes = {
+        "12": 12.0, "1.5": 1.5, "1.": 1.0, ".5": 0.5, ",5": 0.5, "1,5": 1.5, "1.234,5": 1234.5, "1,234.5": 1234.5, "1.234.567,8": 1234567.8,
+        "1,234,567.8": 1234567.8, ".": None, "": None, "1.234.567": 1234567.0, "1.234.56": 1234.56, "$ 7": 7.0, "nan": None, "1e5": None, "1,2,3": None,
+    }
+    rows = spark.createDataFrame(list(shapes.items()), "v STRING, expected DOUBLE").select("expected", amounts.amount_auto(F.col("v")).alias("found"))
+    wrong = rows.where(~F.col("expected").eqNullSafe(F.col("found"))).collect()
+    assert not wrong
+    text = plan(rows)
+    assert text.index("WHEN translate(v") < text.index("regexp_replace")
