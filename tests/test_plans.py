@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import session
 from ledgerloom.functions import amounts
 from ledgerloom.operators import features, messages, terms
 from ledgerloom.operators.header import extract_header
@@ -93,3 +94,14 @@ def test_usual_amounts_meet_no_pattern(spark):
     assert not wrong
     text = plan(rows)
     assert text.index("WHEN translate(v") < text.index("regexp_replace")
+
+
+def test_a_table_of_few_files_is_dealt_to_all_cores(spark):
+    setting, cores = spark.conf.get(session.SPREAD), spark.sparkContext.defaultParallelism
+    spark.conf.unset(session.SPREAD)
+    try:
+        few, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, 2 * cores)
+        assert session.spread(few).rdd.getNumPartitions() == 4 * cores
+        assert session.spread(many).rdd.getNumPartitions() == 2 * cores
+    finally:
+        spark.conf.set(session.SPREAD, setting)
