@@ -13,6 +13,9 @@ from ledgerloom.vocab import (
     AMOUNT_FIELDS, CORRECTABLE_FIELDS, DATE_FIELDS, FIELD_NAMES, ITEM_FIELD_NAMES,
 )
 
+#: Rows of its largest table that a deletion gives to one task.
+ROWS_A_TASK = 250_000
+
 
 def canonicalise(records: DataFrame) -> DataFrame:
     """Producer field names to canonical ones; sentinel texts to null."""
@@ -116,13 +119,21 @@ def replace_items(items: DataFrame, changed: DataFrame, new_items: DataFrame) ->
 def cascade_delete(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:
     """Remove invoices and everything that refers to them.
 
-    ``doomed`` has one column, ``invoice_id``.
+    ``doomed`` has one column, ``invoice_id``. The tables are counted first, so they should
+    be stored ones. The doomed keys are dealt to so many tasks that each gets about
+    ``ROWS_A_TASK`` rows of the largest table, and the join deals the tables likewise: the
+    compressed size of keys, by which adaptive execution joins partitions, says little of
+    their number. A task holds its doomed keys in a hash table, each once, and sorts nothing.
     """
+    spark, doomed = doomed.sparkSession, doomed.select("invoice_id")
+    largest = max(df.count() for df in (doomed, *tables.values()))
+    # With fewer than the usual number the join would deal both sides anew.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-largest // ROWS_A_TASK))
+    keys = doomed.repartition(parts, "invoice_id").hint("shuffle_hash")
     out = {}
-    doomed = doomed.select("invoice_id").distinct()
     for name, df in tables.items():
         key = "id" if name == "invoices" else "invoice_id"
-        out[name] = df.join(doomed.withColumnRenamed("invoice_id", key), key, "left_anti")
+        out[name] = df.join(keys.withColumnRenamed("invoice_id", key), key, "left_anti")
     return out
 
 

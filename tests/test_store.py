@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import corrections as corr, learning, store
 from ledgerloom.sources import files, json_files, snapshots
@@ -53,6 +54,25 @@ def test_items_of_a_hot_invoice(spark):
     assert store.with_items(invoices, items).where("id = 2").first().item_id is None
 
 
+def test_a_deletion_gives_a_task_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(store, "ROWS_A_TASK", 500, raising=False)
+    tables = {
+        "invoices": spark.range(10_000),
+        "invoice_items": spark.range(20_000).selectExpr("IF(id < 3, NULL, id % 10000) AS invoice_id", "id AS n"),
+        "item_corrections": spark.range(9).selectExpr("IF(id < 5, 1, id) AS invoice_id"),
+    }
+    doomed = spark.range(10_000).where("id % 2 = 0").selectExpr("inline(array(struct(id AS invoice_id), struct(IF(id = 0, NULL, id) AS invoice_id)))")
+    left = store.cascade_delete(tables, doomed)
+    assert sorted(r.id for r in left["invoices"].collect()) == list(range(1, 10_000, 2))
+    items = [(r.invoice_id, r.n) for r in left["invoice_items"].collect()]
+    assert sorted(n for i, n in items if i is None) == [0, 1, 2]
+    assert sorted(n for i, n in items if i is not None) == [n for n in range(3, 20_000) if n % 2]
+    assert sorted(r.invoice_id for r in left["item_corrections"].collect()) == [1] * 5 + [5, 7]
+    counted = left["invoice_items"].groupBy("invoice_id").count()
+    tasks = counted.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("count").alias("n")).collect()
+    assert len(tasks) >= 40 and max(r.n for r in tasks) < 500
+
+
 def test_overlay_items(spark):
     def p(d, q, u, t=None):
         import json
