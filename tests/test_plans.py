@@ -9,6 +9,7 @@ from ledgerloom.operators import features, messages, terms
 from ledgerloom.operators.header import extract_header
 from ledgerloom.operators.lines import extract_lines
 from ledgerloom.plans import QUERIES
+from ledgerloom.sources import ubl
 
 
 def plan(df):
@@ -105,3 +106,14 @@ def test_a_table_of_few_files_is_dealt_to_all_cores(spark):
         assert session.spread(many).rdd.getNumPartitions() == 2 * cores
     finally:
         spark.conf.set(session.SPREAD, setting)
+
+
+def test_usual_xml_meets_no_pattern(spark):
+    line = "<Invoice xmlns='u'><x>{0}</x><cac:InvoiceLine><cbc:ID u='1'>7{1}</cbc:ID></cac:InvoiceLine></Invoice>"
+    texts = [line.format("", ""), line.format("\x01", ""), line.format("", "\x01"), line.format("", "a￾b"), line.format("", "￿"), "no", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k INT, xml STRING")
+    lines = ubl.parse_lines(docs, ["k"])
+    assert sorted((r.k, r.line_no, r.line_id) for r in lines.collect()) == [(0, 1, "7"), (1, 1, "7"), (2, 1, "7"), (3, 1, "7a b"), (4, 1, "7")]
+    assert ubl.parse_headers(docs, ["k"]).count() == len(texts)
+    text = plan(lines)
+    assert text.count("from_xml(") - text.count("regexp_replace(xml") == 1
