@@ -116,3 +116,16 @@ def test_repeated_right_sides(spark):
     assert [r.user_id for r in attach_user(invoices_, users).collect()] == [7]
     meta = spark.createDataFrame([(1, "a", None), (1, "b", "s")], "id BIGINT, sender STRING, subject STRING")
     assert [tuple(r) for r in overlay_metadata(invoices_, meta, ["id"]).collect()] == [(1, "u@x", "b", "s")]
+
+
+def test_first_items_meet_no_identities(spark):
+    own = "id BIGINT, invoice_id BIGINT, description STRING, quantity DOUBLE, unit_price DOUBLE, line_total DOUBLE"
+    none = spark.createDataFrame([], own)
+    changed = spark.createDataFrame([(1, "a")], "invoice_id BIGINT, file_path STRING")
+    rows = [("a", 1, "A", 1.0, 2.0, 2.0), ("a", 2, " a ", 1.0, 2.0, 7.0), ("a", None, "N", 1.0, 1.0, 1.0), ("a", 3, None, None, 3.0, 3.0), ("z", 1, "Z", 1.0, 1.0, 1.0)]
+    records = spark.createDataFrame(rows, "file_path STRING, line_no INT, description STRING, quantity DOUBLE, unit_price DOUBLE, line_total DOUBLE")
+    log = spark.createDataFrame([(1, 1, "add", None, None, None, '{"description":"E","quantity":1,"unit_price":1,"line_total":1}')], LOG)
+    first = documents.replaced_items(none, changed, records, log, none_stored=True)
+    matched = documents.replaced_items(none, changed, records, log)
+    assert sorted(map(str, first.collect())) == sorted(map(str, matched.select(*first.columns).collect()))
+    assert first.count() == 3 and "Window" not in first._jdf.queryExecution().optimizedPlan().toString()
