@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import session
 from ledgerloom.functions import amounts
-from ledgerloom.operators import features, messages, terms
+from ledgerloom.operators import documents, features, header, messages, terms
 from ledgerloom.operators.header import extract_header
 from ledgerloom.operators.lines import extract_lines
 from ledgerloom.plans import QUERIES
@@ -117,3 +117,45 @@ def test_usual_xml_meets_no_pattern(spark):
     assert ubl.parse_headers(docs, ["k"]).count() == len(texts)
     text = plan(lines)
     assert text.count("from_xml(") - text.count("regexp_replace(xml") == 1
+
+
+XML = (
+    "<Invoice xmlns='u'><cbc:ID>F{0}</cbc:ID>{1}<cac:LegalMonetaryTotal><cbc:PayableAmount>9</cbc:PayableAmount></cac:LegalMonetaryTotal>"
+    "<cac:InvoiceLine><cac:Item><cbc:Description>Uno</cbc:Description></cac:Item><cac:Price><cbc:PriceAmount>5</cbc:PriceAmount></cac:Price>{2}</cac:InvoiceLine></Invoice>"
+)
+
+
+def test_xml_of_a_batch_is_parsed_once_for_fields_and_lines(spark):
+    wrapped = "<A><cac:Attachment><cac:ExternalReference><cbc:Description><![CDATA[{0}]]></cbc:Description></cac:ExternalReference></cac:Attachment></A>"
+    broken = ["<cac:T>ax", "c<cbc:ID>9", "</x>", "<cac:InvoiceLine>t</cac:InvoiceLine>", "\x01", "&#1;", "\ufffe"]
+    xml = [XML.format(0, "", ""), wrapped.format(XML.format(1, "", ""))]
+    xml += [XML.format(i, *parts) for i, b in enumerate(broken, len(xml)) for parts in ((b, ""), ("", b))] + [XML.format(0, "", "")[:-20], "", None]
+    members = spark.createDataFrame([(i, 1, "xml", x) for i, x in enumerate(xml)] + [(99, 1, "pdf", "Factura 7")], "k INT, member_no INT, kind STRING, payload STRING")
+    headers, items = documents.read_documents(members, "k")
+    assert "from_xml(" not in plan(items) and "from_xml(" not in plan(headers)
+    # as each part is read by a parse of its own
+    content = members.where("kind = 'xml'").select("k", ubl.invoice_content(F.col("payload")).alias("xml"))
+    accepted = ubl.parse_headers(content, ["k"]).where("invoice_number IS NOT NULL AND total_amount IS NOT NULL")
+    told = [c for c in accepted.columns if c != "k"]
+    lines = ubl.parse_lines(content, ["k"]).join(accepted, "k", "left_semi").select(*items.columns)
+    assert sorted(map(str, headers.where("kind = 'xml'").select("k", *told).collect())) == sorted(map(str, accepted.select("k", *told).collect()))
+    assert sorted(map(str, items.collect())) == sorted(map(str, lines.collect()))
+    assert {0, 1, 10, 11, 14, 15} <= {r.k for r in items.collect()}
+
+
+def test_patterns_run_only_where_a_label_occurs(spark):
+    texts = [
+        "FACTURA No. A-1\nFecha 2024-05-01", "Nº 7 IMPUE\u017fTO: 5 VENC\u0130MIENTO 1/2/2024", "emp\u0131re total 9 \u212aELV\u0130N", "raz\u00f3nSocial: Acme Ltda",
+        "TOTAL\ta\npagar $ 3", "RAZÓN  SOCIAL Casa Norte, CLIENTE: uno dos tres cuatro", "nit del adquiriente 900.123.456-1", "MÉTODO DE PAGO efectivo", "uuid " + "a" * 36, "nada", "", None,
+    ]
+    docs = spark.createDataFrame([(t,) for t in texts], "text STRING")
+    base = header.base_patterns()
+    fields = [f for f in base if f not in ("currency", "cufe")]
+    always = [F.nullif(F.btrim(F.regexp_extract("text", base[f], 1), F.lit(" \t\r\n")), F.lit("")).alias(f) for f in fields]
+    found = header.extract_header(docs).selectExpr("text", *[f"CAST({f} AS STRING) IS NOT NULL AS {f}" for f in fields])
+    expected = docs.select("text", *always).selectExpr("text", *[f"{f} IS NOT NULL AS {f}" for f in fields])
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+    assert any(r.tax_amount and r.due_date for r in found.collect())
+    text = plan(header.extract_header(docs))
+    # once, behind a test for a word of its labels
+    assert text.count("forma\\s*de\\s*pago") == 1 and "WHEN (Contains(_folded" in text
