@@ -159,3 +159,13 @@ def test_patterns_run_only_where_a_label_occurs(spark):
     text = plan(header.extract_header(docs))
     # once, behind a test for a word of its labels
     assert text.count("forma\\s*de\\s*pago") == 1 and "WHEN (Contains(_folded" in text
+
+
+def test_messages_are_not_read_for_items(spark):
+    members = spark.createDataFrame([(1, 1, "pdf", "Factura A1\nTotal 9"), (2, 1, "pdf", "nada")], "k INT, member_no INT, kind STRING, payload STRING")
+    mail = spark.createDataFrame([(1, "f/b", "x@casa-azul.com", "s"), (1, "f/a", None, "900;EMPRESA AZUL;A;2"), (2, "f/c", None, None)], "k INT, file_path STRING, email_sender STRING, email_subject STRING")
+    records, items = documents.read_batch(members, "k", messages=mail)
+    assert plan(records).count("partial_max(email_sender") == 1
+    (r,) = records.collect()
+    assert (r.k, r.file_path, r.email_sender, r.email_subject, r.supplier_name, r.invoice_number) == (1, "f/b", "x@casa-azul.com", "s", "Casa Azul", "A1")
+    assert "email_s" not in plan(items)
